@@ -28,8 +28,8 @@ from .common import flat
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
-#: Words kept per Python worker with their ids; any others are tokenized again when they recur.
-CACHE_WORDS = 400_000
+#: Words kept per Python worker with their ids, and about as many stems; others are tokenized again when they recur.
+CACHE_WORDS = 500_000
 CACHED_WORD_BYTES = 48
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
@@ -142,30 +142,76 @@ class Packer:
         return made
 
 
+#: Last bytes of the letters U+00C0-U+00FF, all but the multiplication and division signs.
+_LATIN = frozenset(range(0x80, 0xC0)) - {0x97, 0xB7}
+
+
+def _stem(word: bytes) -> tuple[bytes, int]:
+    """A word's stem and the mark after it, 0 if there is none or it can't be told apart safely."""
+    if b"<|" in word:  # in lower case it could become a special token
+        return word, 0
+    if len(word) > 2 and word[-1] in b",.":
+        before = word[-2]
+        if before < 0x80 and chr(before).isalpha() or before in _LATIN and word[-3] == 0xC3:
+            return word[:-1].lower(), word[-1]
+    return word.lower(), 0
+
+
 class WordIds:
-    """Ids of whole texts, word by word: neither the tokenizer's normalizer nor its splitter joins or looks across ASCII white space."""
+    """Ids of whole texts, word by word: neither the tokenizer's normalizer nor its splitter joins or looks across ASCII white space.
+
+    A word that isn't known is looked up by its stem: ASCII letters in lower case, without a
+    full stop or comma that follows a letter, which the splitter cuts off. Words whose stem
+    was met before become known; stems are forgotten when they are many, so rare words don't
+    keep common ones out.
+    """
+
+    SEPARATOR = "<|endoftext|>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        self.marks = {ord(m): self._ids(m).tobytes() for m in ",."}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Many words in one call with the special token between them, which the tokenizer splits off before all else."""
+        odd = [w for w in words if b"<|" in w]
+        out = {w: self._ids(w.decode()).tobytes() for w in odd}
+        plain = [w for w in words if b"<|" not in w] if odd else words
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self._ids(self.SEPARATOR.join(map(bytes.decode, some)))
+            cut = np.flatnonzero(ids == self.between) * 4
+            raw = ids.tobytes()
+            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])), strict=True))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        missing = [w for w in set().union(*split) if w not in self.known]
-        ids, now = self.known, {}
-        for at in range(0, len(missing), 2000):
-            some = missing[at : at + 2000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                now[w] = np.array(e.ids, "<u4").tobytes()
-        room = CACHE_WORDS - len(ids)
-        ids.update((w, x) for w, x in list(now.items())[: max(0, room)] if len(w) <= CACHED_WORD_BYTES)
-        if all(w in ids for w in now):
-            get = ids.__getitem__
-        else:
-            get = lambda w: ids[w] if w in ids else now[w]
-        return [b"".join(map(get, words)) for words in split]
+        known, stems = self.known, self.stems
+        missing = [(w, *_stem(w)) for w in set().union(*split) - known.keys()]
+        met = {w for w, s, _ in missing if s in stems}
+        stems.update(self._encode_words(list({s for _, s, _ in missing} - stems.keys())))
+        marks = self.marks
+        known.update((w, stems[s] + marks[m] if m else stems[s]) for w, s, m in missing)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        room = CACHE_WORDS - (len(known) - len(missing))
+        for w, _, _ in missing:
+            if room > 0 and w in met and len(w) <= CACHED_WORD_BYTES:
+                room -= 1
+            else:
+                del known[w]
+        if len(stems) > CACHE_WORDS:
+            stems.clear()
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}
