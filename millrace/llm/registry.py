@@ -28,8 +28,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = identify(docs, fit(docs.where(~held)), keep={"held_out": held})
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest_columns, find_private, fit
+
+    docs = _table(spark, sf_dir, "documents")
+    return digest_columns(find_private(docs, fit(docs)))
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op8_langid, op9_pii, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
