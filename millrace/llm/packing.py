@@ -29,7 +29,7 @@ CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
 #: Words kept per Python worker with their ids, and about as many stems; others are tokenized again when they recur.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 CACHED_WORD_BYTES = 48
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])

@@ -28,6 +28,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .grams import near_documents
+
+    return near_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import without_repeated_lines
+
+    return without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
@@ -51,7 +63,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op8_langid, op9_pii, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op6_ngram_join, op7_line_dedup, op8_langid, op9_pii, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
