@@ -28,6 +28,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import render_pages
+
+    return render_pages(_table(spark, sf_dir, "pages"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import text_media
+
+    return text_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .grams import near_documents
 
@@ -63,7 +75,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op6_ngram_join, op7_line_dedup, op8_langid, op9_pii, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_media, op6_ngram_join, op7_line_dedup, op8_langid, op9_pii, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
