@@ -40,6 +40,13 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    return katz_scores(_table(spark, sf_dir, "documents"), ~held)
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .grams import near_documents
 
@@ -75,7 +82,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_media, op6_ngram_join, op7_line_dedup, op8_langid, op9_pii, op10_embeddings)}
+    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_html, op4_media, op5_katz, op6_ngram_join, op7_line_dedup, op8_langid, op9_pii, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
