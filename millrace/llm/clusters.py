@@ -78,24 +78,27 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 Verify = Callable[[dict[str, np.ndarray | list], int], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
-def verified(members: DataFrame, verify: Verify, *, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
+def verified(members: DataFrame, payload: DataFrame, verify: Verify, name: str, *, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:
     """Links within clusters: id, n_links, low (smallest id linked inside a block) and earlier.
 
-    members: cluster, id (unique), n (items that id stands for), at (array of longs that
-    orders items) and payload columns. verify(columns, split) yields index pairs (x, y) of
-    linked rows with x < split <= y, or with x < y among all rows if split is 0; each pair
-    once. n_links counts the items linked to; earlier: one of them comes before by ``at``.
-    An id may come in several rows, one from each block pair.
+    members: cluster, id (unique), n (items that id stands for) and at (array of longs that
+    orders items). payload: id (unique) and what verify(columns, split) looks at; it yields
+    index pairs (x, y) of linked rows with x < split <= y, or with x < y among all rows if
+    split is 0; each pair once. n_links counts the items linked to; earlier: one of them
+    comes before by ``at``. An id may come in several rows, one from each block pair.
+
+    The blocks are dealt out before the payloads join, which move twice: by id and by block.
     """
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "cluster").where("size > 1")
+    rows = stash(members.join(sizes, "cluster").where("size > 1"), f"{name}-members")
     parts = F.ceil(F.col("size") / block).cast("int")
+    bins = max(8, rows.count() // together)
     rows = rows.withColumn("parts", F.when(F.col("size") <= block, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.join(payload, "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    bins = max(8, members.count() // together)
     spread = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "i", "j"))
-    payload = [c for c in members.columns if c not in ("cluster", "id", "n", "at")]
+    columns = [c for c in payload.columns if c != "id"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
@@ -112,7 +115,7 @@ def verified(members: DataFrame, verify: Verify, *, block: int = BLOCK, together
                     continue
             ids, n = part["id"].to_numpy(), part["n"].to_numpy()
             at = np.array(part["at"].to_pylist())
-            pairs = list(verify({c: part[c].combine_chunks() for c in payload}, split))
+            pairs = list(verify({c: part[c].combine_chunks() for c in columns}, split))
             if not pairs:
                 continue
             x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -131,5 +134,5 @@ def verified(members: DataFrame, verify: Verify, *, block: int = BLOCK, together
         joined = [np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(out, (np.int64, np.int64, np.int64, bool), strict=True)]
         return pa.table({"id": pa.array(joined[0], pa.int64()), "n_links": pa.array(joined[1], pa.int64()), "low": pa.array(joined[2], pa.int64()), "earlier": pa.array(joined[3], pa.bool_())})
 
-    rows = rows.withColumn("spread", spread).select("spread", "cluster", "i", "j", "own", "id", "n", "at", *payload)
+    rows = rows.withColumn("spread", spread).select("spread", "cluster", "i", "j", "own", "id", "n", "at", *columns)
     return rows.groupBy("spread").applyInArrow(run, "id long, n_links long, low long, earlier boolean")

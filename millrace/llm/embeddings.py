@@ -124,7 +124,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 i, j = i[across], j[across]
             yield i, j
 
-    found = verified(clusters.join(classes.select("id", "n", F.array("id").alias("at"), "v"), "id"), verify)
+    found = verified(clusters.join(classes.select("id", "n", F.array("id").alias("at")), "id"), classes.select("id", "v"), verify, "vector")
     found = stash(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), "vector-links")

@@ -106,11 +106,18 @@ def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def jaccard_verifier(threshold: float):
-    """Links rows whose ``set`` (sorted unsigned 64-bit values) has at least the threshold's Jaccard similarity."""
+def jaccard_verifier(threshold: float, width: int = 8):
+    """Links rows whose ``set`` (distinct unsigned values of width bytes) has at least the threshold's Jaccard similarity."""
+
+    def values_of(raw: bytes) -> np.ndarray:
+        if width == 8:
+            return np.frombuffer(raw, "<u8")
+        wide = np.zeros((len(raw) // width, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+        return wide.reshape(-1).view("<u8")
 
     def verify(columns: dict, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sets = [np.frombuffer(s, "<u8") for s in columns["set"].to_pylist()]
+        sets = [values_of(s) for s in columns["set"].to_pylist()]
         size = np.array([len(s) for s in sets])
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         end = np.cumsum(size)
@@ -173,8 +180,8 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([sets[i].tobytes() for i in once], pa.binary())], names=["id", "set"])
 
     sets = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
-    inside = clusters.join(classes.select(F.col("copy").alias("id"), "n"), "id").join(sets, "id").withColumn("at", F.array("id"))
-    found = stash(verified(inside, jaccard_verifier(threshold)), "gram-links")
+    inside = clusters.join(classes.select(F.col("copy").alias("id"), "n"), "id").withColumn("at", F.array("id"))
+    found = stash(verified(inside, sets, jaccard_verifier(threshold), "gram"), "gram-links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), "gram-links").withColumnRenamed("node", "id")
     facts = classes.select(F.col("copy").alias("id"), "copy_id", "n").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

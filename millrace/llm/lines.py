@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clusters import _roots, components, verified
 from .common import mix, ranges, stash, word_hashes, word_spans
@@ -31,6 +32,9 @@ COUNT_BITS, COUNT_SLOTS = 22, 64
 HOT_CODE = 2 * 13
 NEWLINE = 10
 
+#: Bytes of a word's hash in the sets that are verified: two of a thousand words in all meet by chance once in two million pairs.
+SET_BYTES = 5
+
 ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("room", "<u4"), ("id", "<i8"), ("bits", "<u8")])
 
 
@@ -130,6 +134,21 @@ def _prefix_entries(cut: np.ndarray, h: np.ndarray, code: np.ndarray, ids: np.nd
     return np.concatenate([out, more]), (part % np.uint64(parts)).astype(np.int64)
 
 
+def _packed(entries: np.ndarray) -> bytes:
+    """Columns one after another; lengths are small numbers and shrink, hashes don't."""
+    entries = entries[np.argsort(entries["word"])]
+    small = zlib.compress(b"".join(entries[c].tobytes() for c in ("word", "n", "room")), 1)
+    return np.array([len(entries), len(small)], "<u4").tobytes() + small + entries["id"].tobytes() + entries["bits"].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n, small = np.frombuffer(blob, "<u4", 2).tolist()
+    out, plain = np.empty(n, ENTRY), np.frombuffer(zlib.decompress(blob[8 : 8 + small]), "<u4").reshape(3, n)
+    out["word"], out["n"], out["room"] = plain
+    out["id"], out["bits"] = np.frombuffer(blob, "<i8", n, 8 + small), np.frombuffer(blob, "<u8", n, 8 + small + 8 * n)
+    return out
+
+
 def candidate_edges(entries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges that join all lines which may match under some word: (id, smallest id it is joined to here)."""
     key = (entries["word"].astype(np.uint64) << np.uint64(32)) | (np.minimum(entries["n"], 2**16 - 1).astype(np.uint64) << np.uint64(16))
@@ -183,7 +202,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 order = np.argsort(part, kind="stable")
                 entries, part = entries[order], part[order]
                 new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
-                blobs = [entries[x:y].tobytes() for x, y in zip(new, [*new[1:], len(part)], strict=True)]
+                blobs = [_packed(entries[x:y]) for x, y in zip(new, [*new[1:], len(part)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +215,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(docs_here[own]), pa.array(keys[own]), pa.array(number[some].astype(np.int32)), pa.array(class_ids(cut, h)[some])], names=["doc", "key", "line", "id"])
 
     def meet(table: pa.Table) -> pa.Table:
-        a, b = candidate_edges(np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY), threshold)
+        a, b = candidate_edges(np.concatenate([_unpacked(x) for x in table["entries"].to_pylist()]), threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     edges = texts.mapInArrow(enter, "part int, entries binary").groupBy("part").applyInArrow(meet, "a long, b long")
@@ -212,11 +231,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 ids = class_ids(cut, h)
                 _, once = np.unique(ids, return_index=True)
                 once = once[(np.diff(cut)[once] > 0) & marked(bits.value, ids[once])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in once], pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([np.ascontiguousarray(h[cut[i] : cut[i + 1]].view(np.uint8).reshape(-1, 8)[:, 8 - SET_BYTES :]).tobytes() for i in once], pa.binary())], names=["id", "set"])
 
     sets = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
     order = classes.select("id", F.array(F.col("first.doc"), F.col("first.line").cast("long")).alias("at"))
-    found = verified(clusters.join(order, "id").join(sets, "id").withColumn("n", F.lit(1).cast("long")), jaccard_verifier(threshold))
+    found = verified(clusters.join(order, "id").withColumn("n", F.lit(1).cast("long")), sets, jaccard_verifier(threshold, SET_BYTES), "line")
     similar = found.where("earlier").select("id", F.lit(True).alias("similar")).distinct()
     verdict = classes.join(similar, "id", "left")
     at = lines.alias("l").join(verdict.alias("v"), F.col("l.id") == F.col("v.id"))
@@ -231,8 +250,18 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     With counts, the columns n_lines and n_removed follow. A null text stays null; a text all
     of whose lines go becomes empty. Lines are cut at newlines (0x0A) alone.
     """
-    gone = repeated_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold).withColumnRenamed("key", "__key").withColumnRenamed("gone", "__gone")
-    kept = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).join(gone, "__key", "left")
+    gone = stash(repeated_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-gone")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select("key")))
+
+    @F.arrow_udf(T.BooleanType())
+    def touched(key: pa.Array) -> pa.Array:
+        return pa.array(marked(bits.value, key.to_numpy()))
+
+    # most documents lose nothing, and a bitmap of a fixed size says so without moving them
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("__touched", touched("__key"))
+    gone = gone.withColumnRenamed("key", "__key").withColumnRenamed("gone", "__gone")
+    whole = keyed.where("NOT __touched").withColumn("__gone", F.lit(None).cast("array<int>"))
+    kept = keyed.where("__touched").join(gone, "__key", "left").unionByName(whole)
     split = F.split(F.col(text_col), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
