@@ -35,7 +35,9 @@ NEWLINE = 10
 #: Bytes of a word's hash in the sets that are verified: two of a thousand words in all meet by chance once in two million pairs.
 SET_BYTES = 5
 
-ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("room", "<u4"), ("id", "<i8"), ("bits", "<u8")])
+ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("room", "<u4"), ("id", "<i8"), ("bits", "<u8", (2,)), ("more", "<u8", (4,))])
+#: Lines with more words than this carry the longer of two bitmaps too.
+LONG_LINE = 128
 
 
 def _offsets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,11 +113,17 @@ def _prefix_entries(cut: np.ndarray, h: np.ndarray, code: np.ndarray, ids: np.nd
     n = np.diff(cut)
     _, once = np.unique(ids, return_index=True)  # a set that recurs in this batch says it once
     some = once[n[once] >= max(2, math.ceil(threshold / (1 - threshold) - 1e-9))]  # smaller sets match equal ones only
-    bits = np.zeros(len(n), np.uint64)
+    bits = np.zeros((len(n), 6), np.uint64)
     if len(h):
-        one = np.left_shift(np.uint64(1), mix(h) & np.uint64(63))
-        full = n > 0
-        bits[full] = np.bitwise_or.reduceat(one, cut[:-1][full])
+        # parities don't fill up as lines get longer: each word in only one of two lines flips one bit
+        full, spread, long = n > 0, mix(h), np.repeat(n > LONG_LINE, n)
+        one = np.left_shift(np.uint64(1), spread & np.uint64(63))
+        for k in range(2):
+            bits[full, k] = np.bitwise_xor.reduceat(np.where((spread >> np.uint64(6)) & np.uint64(1) == k, one, np.uint64(0)), cut[:-1][full])
+        if long.any():
+            which, cuts = (spread[long] >> np.uint64(7)) & np.uint64(3), np.concatenate([[0], np.cumsum(n[n > LONG_LINE])[:-1]])
+            for k in range(4):
+                bits[n > LONG_LINE, 2 + k] = np.bitwise_xor.reduceat(np.where(which == k, one[long], np.uint64(0)), cuts)
     size = n[some]
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     at = ranges(cut[some], prefix)
@@ -123,7 +131,7 @@ def _prefix_entries(cut: np.ndarray, h: np.ndarray, code: np.ndarray, ids: np.nd
     shared = code[at] > 2  # a word that occurs once brings no lines together
     at, row = at[shared], row[shared]
     out = np.empty(len(at), ENTRY)
-    out["word"], out["n"], out["id"], out["bits"] = (h[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[row], ids[row], bits[row]
+    out["word"], out["n"], out["id"], out["bits"], out["more"] = (h[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[row], ids[row], bits[row, :2], bits[row, 2:]
     out["room"] = cut[row] + n[row] - at  # words from this one on
     hot = code[at] >= HOT_CODE
     band = np.floor(np.log(np.maximum(n[row], 1)) / math.log(1 / threshold) + 1e-9).astype(np.uint64)
@@ -138,14 +146,15 @@ def _packed(entries: np.ndarray) -> bytes:
     """Columns one after another; lengths are small numbers and shrink, hashes don't."""
     entries = entries[np.argsort(entries["word"])]
     small = zlib.compress(b"".join(entries[c].tobytes() for c in ("word", "n", "room")), 1)
-    return np.array([len(entries), len(small)], "<u4").tobytes() + small + entries["id"].tobytes() + entries["bits"].tobytes()
+    return np.array([len(entries), len(small)], "<u4").tobytes() + small + entries["id"].tobytes() + entries["bits"].tobytes() + entries["more"][entries["n"] > LONG_LINE].tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
     n, small = np.frombuffer(blob, "<u4", 2).tolist()
     out, plain = np.empty(n, ENTRY), np.frombuffer(zlib.decompress(blob[8 : 8 + small]), "<u4").reshape(3, n)
     out["word"], out["n"], out["room"] = plain
-    out["id"], out["bits"] = np.frombuffer(blob, "<i8", n, 8 + small), np.frombuffer(blob, "<u8", n, 8 + small + 8 * n)
+    out["id"], out["bits"], out["more"] = np.frombuffer(blob, "<i8", n, 8 + small), np.frombuffer(blob, "<u8", 2 * n, 8 + small + 8 * n).reshape(n, 2), 0
+    out["more"][out["n"] > LONG_LINE] = np.frombuffer(blob[8 + small + 24 * n :], "<u8").reshape(-1, 4)
     return out
 
 
@@ -156,6 +165,7 @@ def candidate_edges(entries: np.ndarray, threshold: float) -> tuple[np.ndarray,
     again = (entries["word"][1:] == entries["word"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
     entries = entries[np.concatenate([[True], ~again])] if len(entries) else entries
     word, n, room, bits = entries["word"], entries["n"].astype(np.int64), entries["room"].astype(np.int64), entries["bits"]
+    more = entries["more"]
     _, node = np.unique(entries["id"], return_inverse=True)
     ids = np.unique(entries["id"])
     x, y = [], []
@@ -167,8 +177,10 @@ def candidate_edges(entries: np.ndarray, threshold: float) -> tuple[np.ndarray,
         need = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
         fits = np.minimum(room[i], room[j]) >= need - np.minimum(n[i] - room[i], n[j] - room[j])  # positional filter
         a, b = i[fits], j[fits]
-        differ = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
-        close = (n[a] + n[b] - differ) // 2 >= need[fits]  # words in only one line set bits that differ, or meet
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        both = np.flatnonzero((n[a] > LONG_LINE) & (n[b] > LONG_LINE))
+        differ[both] = np.maximum(differ[both], np.bitwise_count(more[a[both]] ^ more[b[both]]).sum(axis=1, dtype=np.int64))
+        close = (n[a] + n[b] - differ) // 2 >= need[fits]  # bits differ by at most the words in only one line
         x.append(node[a[close]])
         y.append(node[b[close]])
         d += 1
