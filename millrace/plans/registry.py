@@ -30,7 +30,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> dict[str, Registered]:
-    from . import relational  # noqa: F401  registers its queries
+    from . import analytics, relational  # noqa: F401  register their queries
 
     return _all
 

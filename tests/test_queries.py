@@ -6,7 +6,7 @@ import pytest
 from millrace.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "benchmark", "conversations")
 
 
 def plain(rows) -> list[tuple]:
