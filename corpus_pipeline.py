@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: No stage but the mix can be said in SQL. tests/llm tests the operators one by one; the rows of run() have no brute-force version yet.
+#: No stage but the mix can be said in SQL. tests/llm/test_pipeline.py holds every stage against a brute-force version on a small table.
 ORACLE_SQL = None
 
 
