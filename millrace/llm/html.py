@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_VALUE_ENDS = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -28,6 +29,13 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas object svg".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
+#: All that a head can hold; any other tag, or text, ends it and belongs to the body.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Elements with content of another language, in which "/>" makes an element empty; in these elements of that language, HTML goes on.
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext".split())
+#: Tags that end foreign content where they stand in it.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: An opening tag ends these open elements, looked for up to the nearest of the second set.
 _CELL = frozenset(("table",))
 CLOSES = {
@@ -48,8 +56,12 @@ SCOPE = frozenset("button table td th caption".split())
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """("text", text, {}), ("open", name, attributes) and ("close", name, {}); a raw element's text as it stands."""
+    """("text", text, {}), ("open", name, attributes) and ("close", name, {}); a raw element's text as it stands.
+
+    An empty foreign element gives both tags, and so does foreign content that an HTML tag ends.
+    """
     at = 0
+    foreign: list[str] = []  # open svg and math, and the elements in them where HTML goes on
     while at < len(source):
         m = _TOKEN.search(source, at)
         if not m:
@@ -61,13 +73,26 @@ def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             continue
-        if m["end"] or m["end2"]:
+        ends = bool(m["end"] or m["end2"])
+        if foreign and (name == "p" if ends else name in BREAKOUT):
+            while foreign and foreign[-1] in FOREIGN:
+                yield "close", foreign.pop(), {}
+        if ends:
+            if name in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(name) :]
             yield "close", name, {}
             continue
         rest = m["rest"] if m["name"] else m["rest2"]
         yield "open", name, {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t") else {}
+        inside = bool(foreign) and foreign[-1] in FOREIGN
+        if inside or name in FOREIGN:
+            if rest.endswith("/") and not _VALUE_ENDS.search(rest):
+                yield "close", name, {}
+                continue
+            if name in FOREIGN or name in INTEGRATION:
+                foreign.append(name)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+            end = re.compile(rf"</(?:{name}{'|svg|math' if inside else ''})(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)
             yield "text", html.unescape(source[at:stop]) if name in ("textarea", "title") else source[at:stop], {}
             at = stop
@@ -77,6 +102,67 @@ def _hidden(name: str, attributes: dict[str, str]) -> bool:
     return name in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attributes.get("style", ""))) or name == "input" or name == "dialog" and "open" not in attributes
 
 
+def parsed(source: str, shown: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+    """What a page shows, with implied tags: ("text", text, {}, True), ("open", name, attributes, seen) and ("close", name, {}, True).
+
+    Nothing in a hidden element is given, and of the element itself only its opening tag, with
+    seen False; elements named in shown are never hidden. Elements without content aren't closed.
+    """
+    open_: list[tuple[str, bool]] = []
+    hidden = 0
+
+    def pop_to(i: int) -> Iterator[tuple[str, str, dict[str, str], bool]]:
+        nonlocal hidden
+        while len(open_) > i:
+            name, seen = open_.pop()
+            if not seen:
+                hidden -= 1
+            elif not hidden:
+                yield "close", name, {}, True
+
+    for kind, name, attributes in tokens(source):
+        if kind != "close" and open_ and open_[-1][0] == "head" and (name not in IN_HEAD if kind == "open" else name.strip(" \t\n\r\f")):
+            yield from pop_to(len(open_) - 1)
+        if kind == "text":
+            if hidden or open_ and open_[-1][0] in ("table", "tbody", "thead", "tfoot", "tr") and not name.strip():
+                continue
+            yield "text", name, {}, True
+        elif kind == "open":
+            ends, limit = CLOSES.get(name, (frozenset(), frozenset()))
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] in limit:
+                    break
+                if open_[i][0] in ends:
+                    yield from pop_to(i)
+                    break
+            if name in BLOCKS and name not in ("html", "body"):
+                for i in range(len(open_) - 1, -1, -1):
+                    if open_[i][0] in SCOPE:
+                        break
+                    if open_[i][0] == "p":
+                        yield from pop_to(i)
+                        break
+            if name in ("td", "th") and not any(o[0] == "table" for o in open_):
+                name = "span"  # a cell outside a table is plain text
+            seen = name in shown or not _hidden(name, attributes)
+            if not hidden:
+                yield "open", name, attributes, seen
+            if name not in VOID:
+                open_.append((name, seen))
+                hidden += not seen
+        else:
+            if name == "p" and not any(o[0] == "p" for o in open_) and not hidden:
+                yield "open", "p", {}, True
+                yield "close", "p", {}, True
+            for i in range(len(open_) - 1, -1, -1):
+                if open_[i][0] == name:
+                    yield from pop_to(i)
+                    break
+                if open_[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
+                    break
+    yield from pop_to(0)
+
+
 @dataclass
 class _Flow:
     """Lines of one column of text: the page's, or a table cell's."""
@@ -122,8 +208,8 @@ class _Table:
 
 def render(source: str) -> str:
     """All visible text: blocks on lines of their own, paragraphs and the like set apart by an empty line, list items marked and indented, table cells aligned."""
-    flows, tables, open_, lists = [_Flow()], [], [], []  # type: ignore[var-annotated]
-    hidden = pre = 0
+    flows, tables, lists = [_Flow()], [], []  # type: ignore[var-annotated]
+    pre = 0
     mark = ""
 
     def lead() -> str:
@@ -133,13 +219,8 @@ def render(source: str) -> str:
         mark = ""
         return out
 
-    def close(name: str, seen: bool) -> None:
-        nonlocal hidden, pre, mark
-        if not seen:
-            hidden -= 1
-            return
-        if hidden:
-            return
+    def close(name: str) -> None:
+        nonlocal pre, mark
         flow = flows[-1]
         if name == "pre":
             pre -= 1
@@ -164,16 +245,8 @@ def render(source: str) -> str:
         if name in BLOCKS:
             flow.end(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
 
-    def pop_to(i: int) -> None:
-        while len(open_) > i:
-            close(*open_.pop())
-
-    for kind, name, attributes in tokens(source):
+    for kind, name, attributes, seen in parsed(source):
         if kind == "text":
-            if hidden:
-                continue
-            if open_ and open_[-1][0] in ("table", "tbody", "thead", "tfoot", "tr") and not name.strip():
-                continue
             flow = flows[-1]
             if pre:
                 for n, part in enumerate(name.replace("\r\n", "\n").split("\n")):
@@ -193,40 +266,19 @@ def render(source: str) -> str:
             flow.text(body, "" if flow.now else lead())
             flow.space = collapsed[-1] == " "
         elif kind == "open":
-            ends, limit = CLOSES.get(name, (frozenset(), frozenset()))
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in limit:
-                    break
-                if open_[i][0] in ends:
-                    pop_to(i)
-                    break
-            if name in BLOCKS and name not in ("html", "body"):
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] in SCOPE:
-                        break
-                    if open_[i][0] == "p":
-                        pop_to(i)
-                        break
-            if name in ("td", "th") and not any(o[0] == "table" for o in open_):
-                name = "span"  # a cell outside a table is plain text
-            seen = not _hidden(name, attributes)
-            if name == "br" and not hidden:
+            if name == "br":
                 flows[-1].end(1)
-            if name == "img" and seen and not hidden and attributes.get("alt"):
+            if name == "img" and seen and attributes.get("alt"):
                 flow = flows[-1]
                 if flow.now and flow.space:
                     flow.text(" ", "")
                 flow.text(_SPACE.sub(" ", attributes["alt"]), "" if flow.now else lead())
                 flow.space = False
             if name in VOID:
-                if name == "hr" and not hidden:
+                if name == "hr":
                     flows[-1].end(2)
                 continue
-            open_.append((name, seen))
             if not seen:
-                hidden += 1
-                continue
-            if hidden:
                 continue
             if name in BLOCKS:
                 flows[-1].end(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
@@ -248,15 +300,7 @@ def render(source: str) -> str:
             elif name in ("td", "th"):
                 flows.append(_Flow())
         else:
-            if name == "p" and not any(o[0] == "p" for o in open_) and not hidden:
-                flows[-1].end(2)
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    pop_to(i)
-                    break
-                if open_[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
-    pop_to(0)
+            close(name)
     flows[0].end(1)
     return "\n".join(flows[0].lines)
 
@@ -283,7 +327,6 @@ def interleaved(source: str) -> list[dict]:
     """Text and media references in order; a figure's caption goes with each of its media instead of the text."""
     out: list[dict] = []
     words: list[str] = []
-    skip: list[str] = []
     figure, caption, in_caption = None, [], False
 
     def flush() -> None:
@@ -292,25 +335,20 @@ def interleaved(source: str) -> list[dict]:
         if text:
             out.append({"position": len(out), "kind": "text", "text": text, "ref": None, "caption": None})
 
-    for kind, name, attributes in tokens(source):
-        if skip:
-            skip += [name] if kind == "open" and name == skip[0] else []
-            if kind == "close" and name == skip[0]:
-                skip.pop()
-            continue
+    for kind, name, attributes, seen in parsed(source, frozenset(("audio", "video"))):
         if kind == "text":
             (caption if in_caption else words).append(name)
         elif kind == "open":
             if name in ("img", "video", "audio", "source") and attributes.get("src"):
                 flush()
                 out.append({"position": len(out), "kind": "image" if name == "img" else "media", "text": None, "ref": attributes["src"], "caption": attributes.get("alt")})
+            elif not seen:
+                continue
             elif name == "figure":
                 figure, caption = len(out), []
             elif name == "figcaption":
                 in_caption = True
-            elif name not in VOID and name not in ("audio", "video") and _hidden(name, attributes):
-                skip = [name]
-            elif name in BLOCKS or name == "br":
+            elif name in BLOCKS or name in ("br", "td", "th"):
                 words.append(" ")
         elif name == "figcaption":
             in_caption = False
@@ -321,7 +359,7 @@ def interleaved(source: str) -> list[dict]:
                 if item["ref"] is not None and said:
                     item["caption"] = said
             figure = None
-        elif name in BLOCKS:
+        elif name in BLOCKS or name in ("td", "th"):
             words.append(" ")
     flush()
     return out

@@ -117,6 +117,25 @@ def test_rendering():
     assert html.render("") == "" and html.render("<div>" * 5000 + "deep") == "deep" and html.render("a < b <unclosed 'x") != ""
 
 
+def test_a_head_ends_where_the_body_begins():
+    for end in ("<p>", "<div>", "<b>", "<body><p>", "</head><p>", "", "<img><p>", "<noscript><img></head><p>", "<noscript><link><body><p>"):
+        assert html.render(f"<html><head><title>t</title><meta><style>s</style>{end}all text") == "all text"
+        assert [i["text"] for i in html.interleaved(f"<head><script>s</script><title>t</title>{end}all<p>text")] == ["all text"]
+    assert html.render("<head> <title>t</title>\n<link>\n</head>\n<body>x") == "x"
+
+
+def test_empty_foreign_elements():
+    for source in ("<p><svg/>Text</p>", "<svg width='1' />Text", "<svg><style/><g><path/></g><title/></svg>Text", "<svg><title>no</svg>Text", "<svg><svg/>no</svg>Text", "<svg>no<p>Text", "<div><svg>no</div>Text", "<svg><desc><p>no<p>no</desc>no</svg>Text", "<svg><style>a{}</style><script>no</script></svg>Text", "<svg a=b/>no</svg>Text"):
+        assert html.render(source) == "Text"
+        assert [i["text"] for i in html.interleaved(source)] == ["Text"]
+    assert html.render("<math/>a<math><mi/>b<p>c") == "ab\n\nc" and html.render("<div hidden/>no</div>Text") == "Text"
+
+
+def test_interleaved_implies_the_same_tags():
+    got = html.interleaved("<p hidden>no<p>one<ul><li style='display:none'>no<li>two</ul><video src=v>three</video><table><tr><td>a<td>b</table>")
+    assert [i["text"] or i["ref"] for i in got] == ["one two", "v", "three a b"]
+
+
 def test_render_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "z"), (2, None, "z"), (None, "", "z"), (1, "<p>a", "z")], "page_id long, html string, text string")
     assert sorted(map(tuple, html.render_pages(pages).collect()), key=str) == sorted([(1, "a"), (2, None), (None, ""), (1, "a")], key=str)
