@@ -12,6 +12,7 @@ texts of at most ``sample_chars`` characters each); predicting is one map over w
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -139,22 +140,31 @@ class Model:
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on about per_language texts of each language, picked by a hash of the text.
+    """Fit on per_language distinct texts of each language, those of the smallest hashes, or on all if there are fewer.
 
     Rows whose language or text is null, or whose text is longer than sample_chars, aren't
-    used. Copies of a text count once. Nothing to learn from gives a model that rejects all.
+    used. Copies of a text count once, also in how many a language has. Nothing to learn from gives a model that rejects all.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) <= {sample_chars}")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    most = 2**31
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(most)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return Model([], [])
-    most = 2**31
-    rates = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per_language / r["count"]) * most)) for r in counts], "lang string, below long")
-    some = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("text"), F.lit(most)) < F.col("below"))
+    # twice as many as wanted and some more, so that chance and the estimate's error leave enough
+    rates = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * per_language + 50) / r["texts"]) * most)) for r in counts], "lang string, below long")
+    some = rows.join(F.broadcast(rates), "lang").where("place < below")
     # rows of one text pass or fail together, so copies are removed before anything is gathered
-    found = some.groupBy("lang", "text").count().orderBy(F.xxhash64("text"), "lang").limit(2 * per_language * len(counts)).collect()
-    found = [(r["text"], r["lang"]) for r in found]
-    return Model([t for t, _ in found], [x for _, x in found])
+    found = some.groupBy("lang", "text").agg(F.min("place").alias("place")).collect()
+    taken: Counter[str] = Counter()
+    texts, languages = [], []
+    for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["text"])):
+        if taken[r["lang"]] < per_language:
+            taken[r["lang"]] += 1
+            texts.append(r["text"])
+            languages.append(r["lang"])
+    return Model(texts, languages)
+
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

@@ -231,6 +231,15 @@ def test_language(spark, none):
     assert langid.identify(none, model).count() == 0 and {r["lang_pred"] for r in langid.identify(ask, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_sample_counts_distinct_texts(spark, monkeypatch):
+    data = [(words(9, i), "en") for i in range(30)] + [("a text met again", "en")] * 3000 + [(words(9, 100 + i), "de") for i in range(300)] + [(words(9, 500 + i), "fr") for i in (1, 2, 3, 3)]
+    data = spark.createDataFrame(data, "text string, lang string")
+    monkeypatch.setattr(langid, "Model", lambda texts, languages: (texts, languages))
+    texts, languages = langid.fit(data, per_language=10)
+    assert Counter(languages) == {"en": 10, "de": 10, "fr": 3} and len(set(texts)) == 23
+    assert Counter(langid.fit(data, per_language=50)[1]) == {"en": 31, "de": 50, "fr": 3}
+
+
 def test_private_data(docs, none):
     found = pii.digest_columns(pii.find_private(docs, pii.fit(docs))).collect()
     by = {r["doc_id"]: r for r in found}
