@@ -6,25 +6,26 @@ language has several centroids from spherical k-means; the most similar one by c
 the language. A text is rejected if that cosine is far below what training texts of its
 length reach.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``per_language``
-texts of at most ``sample_chars`` characters each); predicting is one map over whole texts.
+The model is fitted on the driver from a bounded sample of each language's rows (``per_language``
+texts, of longer ones ``sample_chars`` characters in spans); predicting is one map over whole texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 8192
 PER_LANGUAGE, SAMPLE_CHARS, CENTROIDS = 400, 20_000, 3
-#: Languages beyond this many, the rarest, aren't learned: the sample stays bounded.
+#: Spans taken of a text of more than SAMPLE_CHARS characters, from start to end at equal distances.
+SPANS = 10
+#: With more languages than this, each has a smaller sample (one text at least), so that theirs together stays bounded.
 LANGUAGES = 200
 #: A text is rejected below this share of the lowest cosine of training texts of its length.
 REJECT_BELOW = 0.6
@@ -88,12 +89,18 @@ class Model:
     """Centroids with their languages, IDF weights, and the lowest cosine allowed by length."""
 
     def __init__(self, texts: list[str], languages: list[str], centroids: int = CENTROIDS):
-        self.languages = sorted(set(languages))
-        lang = np.array([self.languages.index(x) for x in languages])
-        counts = np.concatenate([vectors(texts[i : i + TOGETHER])[0] for i in range(0, len(texts), TOGETHER)]) if texts else np.zeros((0, DIMENSIONS))
-        self.idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(axis=0))) + 1
-        x = _unit(np.log1p(counts) * self.idf)
-        found = [_cluster(x[lang == i], centroids) for i in range(len(self.languages))]
+        by_language: dict[str, list[str]] = {}
+        for t, x in zip(texts, languages, strict=True):
+            by_language.setdefault(x, []).append(t)
+        self.languages = sorted(by_language)
+        met = np.zeros(DIMENSIONS, np.int64)
+        for i in range(0, len(texts), TOGETHER):
+            met += (vectors(texts[i : i + TOGETHER])[0] > 0).sum(axis=0)
+        self.idf = np.log((1 + len(texts)) / (1 + met)) + 1
+        found = []
+        for own in map(by_language.__getitem__, self.languages):  # vectors of one language at a time
+            counts = np.concatenate([vectors(own[i : i + TOGETHER])[0] for i in range(0, len(own), TOGETHER)])
+            found.append(_cluster(_unit(np.log1p(counts) * self.idf), centroids))
         self.centroids = np.concatenate(found).astype(np.float32) if found else np.zeros((0, DIMENSIONS), np.float32)
         self.owner = np.repeat(np.arange(len(found)), [len(c) for c in found])
         self.idf = self.idf.astype(np.float32)
@@ -142,29 +149,28 @@ class Model:
 def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit on per_language distinct texts of each language, those of the smallest hashes, or on all if there are fewer.
 
-    Rows whose language or text is null, or whose text is longer than sample_chars, aren't
-    used. Copies of a text count once, also in how many a language has. Nothing to learn from gives a model that rejects all.
+    Rows whose language or text is null aren't used. Of a text longer than sample_chars, SPANS
+    spans of that many characters together are. With over LANGUAGES languages, per_language is
+    lowered to keep the sample's size. Copies of a text count once, also in how many a language has. Nothing to learn from gives a model that rejects all.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(f"lang IS NOT NULL AND text IS NOT NULL AND length(text) <= {sample_chars}")
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     most = 2**31
     rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(most)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
     if not counts:
         return Model([], [])
+    per_language = max(1, min(per_language, PER_LANGUAGE * LANGUAGES // len(counts)))
     # twice as many as wanted and some more, so that chance and the estimate's error leave enough
     rates = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * per_language + 50) / r["texts"]) * most)) for r in counts], "lang string, below long")
     some = rows.join(F.broadcast(rates), "lang").where("place < below")
     # rows of one text pass or fail together, so copies are removed before anything is gathered
-    found = some.groupBy("lang", "text").agg(F.min("place").alias("place")).collect()
-    taken: Counter[str] = Counter()
-    texts, languages = [], []
-    for r in sorted(found, key=lambda r: (r["place"], r["lang"], r["text"])):
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            texts.append(r["text"])
-            languages.append(r["lang"])
-    return Model(texts, languages)
-
+    size = max(1, sample_chars // SPANS)
+    spans = F.expr(f"CASE WHEN length(text) <= {sample_chars} THEN text ELSE array_join(transform(sequence(0, {SPANS - 1}), i -> substring(text, cast(1 + i * (length(text) - {size}) div {SPANS - 1} AS int), {size})), ' ') END")
+    some = some.select("lang", "place", spans.alias("text"))
+    found = some.groupBy("lang", "text").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))  # of what is sampled, so bounded
+    found = sorted(found.withColumn("rank", rank).where(F.col("rank") <= per_language).collect(), key=lambda r: (r["place"], r["lang"], r["text"]))
+    return Model([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

@@ -240,6 +240,20 @@ def test_language_sample_counts_distinct_texts(spark, monkeypatch):
     assert Counter(langid.fit(data, per_language=50)[1]) == {"en": 31, "de": 50, "fr": 3}
 
 
+def test_every_label_and_long_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 4)
+    data = spark.createDataFrame([(words(9, 10 * i + k), f"l{i}") for i in range(6) for k in range(5 - i % 2)], "text string, lang string")
+    assert langid.fit(data).languages == [f"l{i}" for i in range(6)]
+    text = words(9000, 7)
+    long = spark.createDataFrame([(text, "en"), ("kurz und gut", "de")], "text string, lang string")
+    assert langid.fit(long).languages == ["de", "en"]
+    monkeypatch.setattr(langid, "Model", lambda texts, languages: dict(zip(languages, texts, strict=True)))
+    got = langid.fit(long, sample_chars=1000)
+    step = (len(text) - 100) / 9
+    assert got["de"] == "kurz und gut" and got["en"] == " ".join(text[int(i * step) :][:100] for i in range(10)) and got["en"].endswith(text[-100:])
+
+
 def test_private_data(docs, none):
     found = pii.digest_columns(pii.find_private(docs, pii.fit(docs))).collect()
     by = {r["doc_id"]: r for r in found}
