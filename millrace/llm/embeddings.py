@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,6 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     other. Ids are meant to be unique; rows that share one share its component. An empty
     table gives no rows. Other columns are not read.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,12 +79,15 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     own = stash(rows.mapInArrow(read, "vec_id long, copy long, v binary"), "vectors")
     classes = own.where("copy IS NOT NULL").groupBy("copy", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     classes = stash(classes, "vector-classes")
-    dims = [r["d"] for r in classes.select((F.length("v") / 8).cast("int").alias("d")).distinct().limit(100).collect()]
     k, tables = plan_tables(classes.count(), threshold, recall)
-    planes = {d: (rng := np.random.Generator(np.random.PCG64(d))) and (rng.standard_normal((d, k * tables)), rng.uniform(0, WIDTH, k * tables)) for d in dims}
-    sent = spark.sparkContext.broadcast(planes)  # a fixed size for each length of vector
+
+    def planes(d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a length of vector in every task."""
+        rng = np.random.Generator(np.random.PCG64(d))
+        return rng.standard_normal((d, k * tables)), rng.uniform(0, WIDTH, k * tables)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = lru_cache(16)(planes)  # so many lengths' planes are held at a time
         for b in batches:
             for at in range(0, len(b), 512):
                 ids, raw = b.column(0).slice(at, 512).to_numpy(), b.column(1).slice(at, 512).to_pylist()
@@ -93,7 +96,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     x = np.frombuffer(b"".join(raw[i] for i in some)).reshape(len(some), d)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    a, shift = sent.value[d]
+                    a, shift = met(d)
                     cell = np.floor((x @ a + shift) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(some), tables, k)
                     h = np.broadcast_to(np.arange(tables, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(d), (len(some), tables))
                     for c in range(k):

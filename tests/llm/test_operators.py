@@ -289,3 +289,9 @@ def test_vectors(spark):
     assert [got[i]["n_links"] for i, _ in data] == want.tolist() and got[71]["component_id"] == 3 and not got[71]["kept"]
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i, _ in odd)
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_many_lengths(spark):
+    data = [(2 * d + i, [1.0] * d) if i else (2 * d, [1.0] * (d - 1) + [1.01]) for d in range(2, 123) for i in (0, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(data) and all(x["n_links"] == 1 and x["component_id"] == x["vec_id"] // 2 * 2 for x in got)
