@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 8)] + [2**64 - 1], dtype=np.uint64)
+KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 8)] + [2**64 - 1], dtype=np.uint64)
 #: Words longer than this many bytes are hashed one by one instead of in step with the others.
 LONG_WORD = 256
 
@@ -60,6 +61,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def pieces(column: pa.Array, together: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about a bounded total: index of the first, bytes, offsets."""
+    data, at = flat(column)
+    first = 0
+    while first < len(at) - 1:
+        last = min(max(first + 1, int(np.searchsorted(at, at[first] + together, "right")) - 1), len(at) - 1)
+        yield first, data[at[first] : at[last]], at[first : last + 1] - at[first]
+        first = last
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the index of its first word (one more at the end)."""
     word = ~IS_SPACE[data]
@@ -81,12 +92,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on, as one number; the last seven places are left out."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, eight bytes at a time; the same on every machine."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    eight = eights(np.concatenate([data, np.zeros(8, np.uint8)]))
     size = ends - starts
     h = size.astype(np.uint64) * _P1
     todo, step = np.arange(len(starts)), 0
@@ -96,7 +111,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while len(todo):
         whole = len(todo) == len(h)
         left = (size if whole else size[todo]) - step
-        block = eight[(starts if whole else starts[todo]) + step] & _KEEP[np.minimum(left, 8)]
+        block = eight[(starts if whole else starts[todo]) + step] & KEEP[np.minimum(left, 8)]
         if whole:
             h = mix(h ^ block)
         else:

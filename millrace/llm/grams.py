@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bucket_edges, components, verified
-from .common import flat, mix, ranges, stash, word_hashes, word_spans
+from .common import mix, pieces, ranges, stash, word_hashes, word_spans
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.995, 5
 #: The bitmap of candidate classes: 2**25 bits are 4 MB, in 64 slots.
@@ -37,16 +37,6 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
-def pieces(column: pa.Array, together: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about a bounded total: index of the first, bytes, offsets."""
-    data, at = flat(column)
-    first = 0
-    while first < len(at) - 1:
-        last = min(max(first + 1, int(np.searchsorted(at, at[first] + together, "right")) - 1), len(at) - 1)
-        yield first, data[at[first] : at[last]], at[first : last + 1] - at[first]
-        first = last
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     starts, ends, first = word_spans(data, offsets)
@@ -157,7 +147,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, data, at in pieces(b.column(1)):
+            for first, data, at in pieces(b.column(1), TOGETHER):
                 sets = shingles(data, at, words)
                 copy = [fingerprint(s) if len(s) else None for s in sets]
                 keys = [band_keys(s, bands, rows) if len(s) else None for s in sets]
@@ -172,7 +162,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, at in pieces(b.column(1)):
+            for _, data, at in pieces(b.column(1), TOGETHER):
                 sets = [s for s in shingles(data, at, words) if len(s)]
                 ids = np.array([fingerprint(s) for s in sets], np.int64)
                 _, once = np.unique(ids, return_index=True)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import _roots, components, verified
-from .common import mix, ranges, stash, word_hashes, word_spans
-from .grams import bitmap, jaccard_verifier, marked, pieces
+from .common import mix, pieces, ranges, stash, word_hashes, word_spans
+from .grams import TOGETHER, bitmap, jaccard_verifier, marked
 
 THRESHOLD = 0.8
 #: Words are counted by this many bits of their hash, in this many slots.
@@ -91,7 +91,7 @@ def word_codes(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2**COUNT_BITS, np.int64)
         for b in batches:
-            for _, data, at in pieces(b.column(1)):
+            for _, data, at in pieces(b.column(1), TOGETHER):
                 starts, ends, _ = word_spans(data, at)
                 total += np.bincount((word_hashes(data, starts, ends) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
         some = [s for s in range(COUNT_SLOTS) if total[s * per : (s + 1) * per].any()]
@@ -208,7 +208,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, at in pieces(b.column(1)):
+            for _, data, at in pieces(b.column(1), TOGETHER):
                 _, _, cut, h, code = line_sets(data, at, codes.value)
                 entries, part = _prefix_entries(cut, h, code, class_ids(cut, h), threshold, parts)
                 order = np.argsort(part, kind="stable")
@@ -220,7 +220,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs_here, keys = b.column(0).to_numpy(), b.column(2).to_numpy()
-            for first, data, at in pieces(b.column(1)):
+            for first, data, at in pieces(b.column(1), TOGETHER):
                 text, number, cut, h, _ = line_sets(data, at, codes.value)
                 some = np.flatnonzero(np.diff(cut))
                 own = first + text[some]
@@ -238,7 +238,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, at in pieces(b.column(1)):
+            for _, data, at in pieces(b.column(1), TOGETHER):
                 _, _, cut, h, _ = line_sets(data, at, codes.value)
                 ids = class_ids(cut, h)
                 _, once = np.unique(ids, return_index=True)

@@ -23,14 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat
+from .common import KEEP, eights, pieces, ranges, word_hashes, word_spans
 
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
-#: Words kept per Python worker with their ids, and about as many stems; others are tokenized again when they recur.
-CACHE_WORDS = 1_200_000
+#: Words and stems kept per Python worker with their ids, about 100 MB; when there are more, all are forgotten.
+CACHE_WORDS = 1_500_000
 CACHED_WORD_BYTES = 48
+#: Bytes of texts tokenized at a time, more only where one text has more.
+TOGETHER = 2_000_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -157,13 +159,102 @@ def _stem(word: bytes) -> tuple[bytes, int]:
     return word.lower(), 0
 
 
+class WordTable:
+    """Words by their bytes with the ids of each, in flat arrays: no Python object per word.
+
+    A word is found by its hash, by open addressing, and counts as found only if its bytes are the same.
+    """
+
+    SLOTS = 22
+
+    def __init__(self):
+        self.slots = np.full(1 << self.SLOTS, -1, np.int32)
+        self.n = 0
+        self.hash, self.head = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.at, self.size, self.first, self.count = (np.zeros(1024, np.int32) for _ in range(4))
+        self.bytes, self.used_bytes = np.zeros(1 << 16, np.uint8), 0
+        self.ids, self.used_ids = np.zeros(1 << 16, np.uint32), 0
+
+    def clear(self) -> None:
+        self.slots.fill(-1)
+        self.n = self.used_bytes = self.used_ids = 0
+
+    @property
+    def full(self) -> bool:
+        return self.n >= CACHE_WORDS
+
+    def find(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each word data[start : start + size] with hash h, or -1. data has eight bytes more at its end."""
+        out = np.full(len(h), -1, np.int64)
+        slot, todo, mask = self._slot(h), np.arange(len(h)), (1 << self.SLOTS) - 1
+        while len(todo):
+            entry = self.slots[slot]
+            there = entry >= 0
+            same = there & (self.hash[entry] == h[todo])
+            out[todo[same]] = entry[same]
+            on = there & ~same
+            todo, slot = todo[on], (slot[on] + 1) & mask
+        found = np.flatnonzero(out >= 0)
+        entry, start, size = out[found], starts[found], size[found]
+        right = (self.size[entry] == size) & (eights(data)[start] & KEEP[np.minimum(size, 8)] == self.head[entry])
+        own, step = eights(self.bytes), 8
+        more = np.flatnonzero(right & (size > step))
+        while len(more):
+            keep = KEEP[np.minimum(size[more] - step, 8)]
+            right[more] = eights(data)[start[more] + step] & keep == own[self.at[entry[more]] + step] & keep
+            step += 8
+            more = more[right[more] & (size[more] > step)]
+        out[found[~right]] = -1
+        return out
+
+    def put(self, words: list[bytes], h: np.ndarray, ids: list[bytes]) -> None:
+        """Enter words that aren't there, as far as the slots reach; ids are little-endian unsigned 32-bit."""
+        fits = [i for i, w in enumerate(words) if len(w) <= CACHED_WORD_BYTES][: (1 << self.SLOTS) // 2 - self.n]
+        if not fits:
+            return
+        n, m = self.n, self.n + len(fits)
+        size = np.array([len(words[i]) for i in fits])
+        count = np.array([len(ids[i]) // 4 for i in fits])
+        raw, wide = b"".join([words[i] for i in fits]), b"".join([ids[i] for i in fits])
+        self.hash, self.head, self.at, self.size, self.first, self.count = (_room(a, m) for a in (self.hash, self.head, self.at, self.size, self.first, self.count))
+        self.bytes, self.ids = _room(self.bytes, self.used_bytes + len(raw) + 8), _room(self.ids, self.used_ids + len(wide) // 4)
+        self.bytes[self.used_bytes : self.used_bytes + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.ids[self.used_ids : self.used_ids + len(wide) // 4] = np.frombuffer(wide, "<u4")
+        self.hash[n:m], self.size[n:m], self.count[n:m] = h[fits], size, count
+        self.at[n:m], self.first[n:m] = self.used_bytes + np.cumsum(size) - size, self.used_ids + np.cumsum(count) - count
+        self.head[n:m] = eights(self.bytes)[self.at[n:m]] & KEEP[np.minimum(size, 8)]
+        self.used_bytes, self.used_ids, self.n = self.used_bytes + len(raw), self.used_ids + len(wide) // 4, m
+        todo, slot = np.arange(n, m), self._slot(self.hash[n:m])
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.slots[slot[won]] = todo[won]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.SLOTS) - 1)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def ids_of(self, entry: int) -> bytes:
+        return self.ids[self.first[entry] : self.first[entry] + self.count[entry]].tobytes()
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, len(a) * 3 // 2), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class WordIds:
     """Ids of whole texts, word by word: neither the tokenizer's normalizer nor its splitter joins or looks across ASCII white space.
 
     A word that isn't known is looked up by its stem: ASCII letters in lower case, without a
-    full stop or comma that follows a letter, which the splitter cuts off. Words whose stem
-    was met before become known; stems are forgotten when they are many, so rare words don't
-    keep common ones out.
+    full stop or comma that follows a letter, which the splitter cuts off. Known words and
+    stems are kept in a table of a bounded size, which is emptied when it is full.
     """
 
     SEPARATOR = "<|endoftext|>"
@@ -174,9 +265,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(self.SEPARATOR)
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-        self.marks = {ord(m): self._ids(m).tobytes() for m in ",."}
+        self.known = WordTable()
+        self.marks = {0: b"", **{ord(m): self._ids(m).tobytes() for m in ",."}}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -194,40 +284,57 @@ class WordIds:
             out.update(zip(some, map(raw.__getitem__, map(slice, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])), strict=True))
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known, stems = self.known, self.stems
-        missing = [(w, *_stem(w)) for w in set().union(*split) - known.keys()]
-        met = {w for w, s, _ in missing if s in stems}
-        stems.update(self._encode_words(list({s for _, s, _ in missing} - stems.keys())))
-        marks = self.marks
-        known.update((w, stems[s] + marks[m] if m else stems[s]) for w, s, m in missing)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        room = CACHE_WORDS - (len(known) - len(missing))
-        for w, _, _ in missing:
-            if room > 0 and w in met and len(w) <= CACHED_WORD_BYTES:
-                room -= 1
-            else:
-                del known[w]
-        if len(stems) > CACHE_WORDS:
-            stems.clear()
-        return out
+    def _learn(self, words: list[bytes], h: np.ndarray) -> None:
+        """Enter words that aren't known, and their stems."""
+        split = [_stem(w) for w in words]
+        stems = list({s for s, _ in split})
+        data = np.frombuffer(b" ".join(stems) + bytes(8), np.uint8)
+        size = np.array([len(s) for s in stems])
+        starts = np.cumsum(size + 1) - size - 1
+        sh = word_hashes(data, starts, starts + size)
+        entry = self.known.find(sh, data, starts, size)
+        ids = {stems[i]: self.known.ids_of(entry[i]) for i in np.flatnonzero(entry >= 0).tolist()}
+        new = np.flatnonzero(entry < 0)
+        some = [stems[i] for i in new.tolist()]
+        made = self._encode_words(some)
+        ids |= made
+        self.known.put(some, sh[new], [made[s] for s in some])
+        other = [i for i, (w, (s, _)) in enumerate(zip(words, split, strict=True)) if w != s]
+        self.known.put([words[i] for i in other], h[other], [ids[split[i][0]] + self.marks[split[i][1]] for i in other])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and where each text's begin (one more at the end)."""
+        known = self.known
+        if known.full:
+            known.clear()
+        starts, ends, first = word_spans(data, offsets)
+        h, size = word_hashes(data, starts, ends), ends - starts
+        data = np.concatenate([data, np.zeros(8, np.uint8)])
+        entry = known.find(h, data, starts, size)
+        missing, lost = np.flatnonzero(entry < 0), []
+        if len(missing):
+            distinct, one = np.unique(h[missing], return_index=True)
+            self._learn([data[starts[i] : ends[i]].tobytes() for i in missing[one].tolist()], distinct)
+            entry[missing] = known.find(h[missing], data, starts[missing], size[missing])
+            lost = missing[entry[missing] < 0].tolist()
+        words = [data[starts[i] : ends[i]].tobytes() for i in lost]  # too long to keep, or of another's hash
+        made = self._encode_words(list(set(words)))
+        count = known.count[entry]
+        count[lost] = [len(made[w]) // 4 for w in words]
+        at = np.cumsum(count) - count
+        if lost:
+            ids, kept = np.empty(int(count.sum()), "<u4"), entry >= 0
+            ids[ranges(at[kept], count[kept])] = known.ids[ranges(known.first[entry[kept]], count[kept])]
+            for i, w in zip(lost, words, strict=True):
+                ids[at[i] : at[i] + count[i]] = np.frombuffer(made[w], "<u4")
+        else:
+            ids = known.ids[ranges(known.first[entry], count)].astype("<u4")
+        return ids, np.append(at, len(ids))[first]
 
 
 _word_ids: dict[str, WordIds] = {}
 
 
-def _texts(column: pa.Array, together: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of a bounded total, with the index of the first."""
-    data, at = flat(column)
-    first = 0
-    while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + together)))
-        last = min(last, len(at) - 1)
-        yield first, [data[a:b].tobytes() for a, b in zip(at[first:last], at[first + 1 : last + 1], strict=True)]
-        first = last
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, with_ids: bool = True) -> DataFrame:
     """Pack every document's ids, each followed by end_id, into sequences of at most capacity ids.
 
@@ -248,9 +355,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         packer = Packer(capacity, pool_tokens, (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0, with_ids)
         for batch in batches:
             docs_here = batch.column(0).to_pylist()
-            for first, texts in _texts(batch.column(1)):
-                for doc, ids in zip(docs_here[first : first + len(texts)], words.encode(texts), strict=True):
-                    packer.add(doc, ids + end)
+            for first, data, at in pieces(batch.column(1), TOGETHER):
+                ids, cut = words.encode(data, at)
+                for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    packer.add(docs_here[first + k], ids[a:b].tobytes() + end)
                 yield packer.batch()
         packer.finish()
         yield packer.batch()
