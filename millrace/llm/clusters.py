@@ -17,48 +17,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import BROADCAST_ROWS, looked_up, stash
 
 #: Items of a cluster that meet in one task at most, twice; larger clusters are split into pairs of blocks.
 BLOCK = 512
+#: Bytes of payloads of a block at most, but for a single larger item.
+BLOCK_BYTES = 16_000_000
 #: Items of small clusters that share one call.
 TOGETHER = 2000
 
 
-def bucket_edges(members: DataFrame) -> DataFrame:
+def bucket_edges(members: DataFrame, name: str) -> DataFrame:
     """members: key, id. A row (a, b) from each member of a bucket to its smallest one.
 
-    The smallest is found by an aggregate and joined back: a bucket with a third of all rows
-    arrives in one task as one row per mapper, and the join of its members can be split.
+    The smallest is found by an aggregate: a bucket with a third of all rows arrives in one
+    task as one row per mapper, and only buckets of more than one member are looked up.
     """
     smallest = members.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").drop("most")
-    return members.join(smallest, "key").where("id <> b").select(F.col("id").alias("a"), "b")
+    return looked_up(members, smallest, "key", "inner", f"{name}-buckets").where("id <> b").select(F.col("id").alias("a"), "b")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, root (the smallest node of its component) of every node of edges (a, b).
 
     Alternating large and small stars: every round links all neighbours of a node to its
-    smallest one, so the number of rounds follows the logarithm of the diameter. Minima are
-    partial aggregates and only joins see a hot node's edges. Each round is written to the
-    shared folder, so no lineage builds up.
+    smallest one, so the number of rounds follows the logarithm of the diameter. Edges are
+    kept from the larger to the smaller node; only nodes between two others, and nodes with
+    several smaller neighbours, change anything, and these alone are looked up. Each round is
+    written to the shared folder, so no lineage builds up.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, before = stash(now, f"{name}-edges"), None
+    now = stash(now, f"{name}-edges")
     while True:
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
+        below = now.select(F.col("v").alias("w")).distinct()
+        low = now.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
+        between = stash(low.join(below, "w", "left_semi"), f"{name}-between")
+        inner = between.count()
+        if inner:
+            large = now.join(_small(between, inner), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+            now = stash(large, f"{name}-edges")
+        several = stash(now.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")).where("m < most").drop("most"), f"{name}-several")
+        many = several.count()
+        if many:
+            stays = F.col("m").isNull() | (F.col("v") == F.col("m"))
+            both = now.join(_small(several, many), "u", "left")
+            now = stash(both.select(F.when(stays, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(stays, F.col("v")).otherwise(F.col("m")).alias("v")).distinct(), f"{name}-edges")
+        if not inner and not many:
             break
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n indices by the links x-y."""
     root = np.arange(n)
@@ -82,23 +94,27 @@ def verified(members: DataFrame, payload: DataFrame, verify: Verify, name: str,
     """Links within clusters: id, n_links, low (smallest id linked inside a block) and earlier.
 
     members: cluster, id (unique), n (items that id stands for) and at (array of longs that
-    orders items). payload: id (unique) and what verify(columns, split) looks at; it yields
-    index pairs (x, y) of linked rows with x < split <= y, or with x < y among all rows if
-    split is 0; each pair once. n_links counts the items linked to; earlier: one of them
-    comes before by ``at``. An id may come in several rows, one from each block pair.
-
-    The blocks are dealt out before the payloads join, which move twice: by id and by block.
+    orders items). payload, a stored table: id (unique), bytes (their number in the other
+    columns) and what verify(columns, split) looks at; it yields index pairs (x, y) of linked
+    rows with x < split <= y, or with x < y among all rows if split is 0; each pair once.
+    n_links counts the items linked to; earlier: one of them comes before by ``at``. An id
+    may come in several rows, one from each block pair.
+
+    Blocks hold a bounded number of items and of bytes, but for an item that is larger by
+    itself. They are dealt out before the payloads join.
     """
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    rows = stash(members.join(sizes, "cluster").where("size > 1"), f"{name}-members")
-    parts = F.ceil(F.col("size") / block).cast("int")
-    bins = max(8, rows.count() // together)
-    rows = rows.withColumn("parts", F.when(F.col("size") <= block, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.join(payload, "id")
+    members = stash(members.join(payload.select("id", "bytes"), "id"), f"{name}-weighed")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("heavy")).where("size > 1")
+    rows = looked_up(members, sizes, "cluster", "inner", f"{name}-sizes")
+    parts = F.ceil(F.greatest(F.col("size") / block, F.col("heavy") / BLOCK_BYTES)).cast("int")
+    whole = members.agg(F.count("*"), F.sum("bytes")).first()
+    bins = max(8, whole[0] // together, (whole[1] or 0) // BLOCK_BYTES)
+    rows = rows.drop("bytes").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.join(payload.drop("bytes"), "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     spread = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "i", "j"))
-    columns = [c for c in payload.columns if c != "id"]
+    columns = [c for c in payload.columns if c not in ("id", "bytes")]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("cluster", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,33 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two or three numbers that are sent to every task at most, about 20 MB; what has more is joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def looked_up(df: DataFrame, table: DataFrame, on: str | Column | list[str], how: str, name: str) -> DataFrame:
+    """df joined with a table that has one narrow row per key, whatever the share of df's rows that one key has.
+
+    The table is stored and counted. Up to BROADCAST_ROWS rows go to every task, so df stays in
+    place; a larger one is joined by shuffles of both sides, which Spark splits where a key is frequent.
+    """
+    table = stash(table, name)
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like that one which df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,15 +100,16 @@ def pieces(column: pa.Array, together: int) -> Iterator[tuple[int, np.ndarray, n
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the index of its first word (one more at the end)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     word = ~IS_SPACE[data]
-    full = offsets[:-1] < offsets[1:]
-    first, last = word.copy(), word
-    first[1:] &= ~word[:-1]
-    first[offsets[:-1][full]] = word[offsets[:-1][full]]
-    after = np.ones(len(word), bool)
-    after[:-1] = ~word[1:]
-    after[offsets[1:][full] - 1] = True
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last & after) + 1
+    turns = np.flatnonzero(word[1:] != word[:-1]) + 1
+    between = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
+    between = between[word[between - 1] & word[between]]  # a word ends where its text does
+    if len(between):
+        turns = np.insert(turns, np.repeat(np.searchsorted(turns, between), 2), np.repeat(between, 2))
+    turns = np.concatenate([[0][: int(word[0])], turns, [len(data)][: int(word[-1])]]).astype(np.int64)
+    starts, ends = turns[0::2], turns[1::2]
     return starts, ends, np.searchsorted(starts, offsets)
 
 

@@ -104,7 +104,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[some], tables))], names=["key", "id"])
 
     members = classes.select("id", "v").mapInArrow(buckets, "key long, id long")
-    clusters = components(bucket_edges(stash(members, "buckets")), "vectors").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    clusters = components(bucket_edges(stash(members, "buckets"), "vector"), "vectors").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
 
     def verify(columns: dict, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         raw = columns["v"].to_pylist()
@@ -127,7 +127,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                 i, j = i[across], j[across]
             yield i, j
 
-    found = verified(clusters.join(classes.select("id", "n", F.array("id").alias("at")), "id"), classes.select("id", "v"), verify, "vector")
+    found = verified(clusters.join(classes.select("id", "n", F.array("id").alias("at")), "id"), classes.select("id", "v", F.octet_length("v").alias("bytes")), verify, "vector")
     found = stash(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), "vector-links")

@@ -96,18 +96,11 @@ def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def jaccard_verifier(threshold: float, width: int = 8):
-    """Links rows whose ``set`` (distinct unsigned values of width bytes) has at least the threshold's Jaccard similarity."""
-
-    def values_of(raw: bytes) -> np.ndarray:
-        if width == 8:
-            return np.frombuffer(raw, "<u8")
-        wide = np.zeros((len(raw) // width, 8), np.uint8)
-        wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-        return wide.reshape(-1).view("<u8")
+def jaccard_verifier(threshold: float):
+    """Links rows whose ``set`` (distinct unsigned 64-bit values) has at least the threshold's Jaccard similarity."""
 
     def verify(columns: dict, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sets = [values_of(s) for s in columns["set"].to_pylist()]
+        sets = [np.frombuffer(s, "<u8") for s in columns["set"].to_pylist()]
         size = np.array([len(s) for s in sets])
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         end = np.cumsum(size)
@@ -156,7 +149,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     signed = stash(texts.mapInArrow(sign, "doc_id long, copy long, keys array<long>"), "signatures")
     classes = stash(signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("keys").alias("keys")), "gram-classes")
     members = classes.select(F.col("copy").alias("id"), F.explode("keys").alias("key"))
-    clusters = components(bucket_edges(members), "gram-candidates").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+    clusters = components(bucket_edges(members, "gram"), "gram-candidates").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
     clusters = stash(clusters, "gram-clusters")
     bits = spark.sparkContext.broadcast(bitmap(clusters.select("id")))
 
@@ -170,6 +163,7 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([sets[i].tobytes() for i in once], pa.binary())], names=["id", "set"])
 
     sets = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    sets = stash(sets.withColumn("bytes", F.octet_length("set")), "gram-sets")
     inside = clusters.join(classes.select(F.col("copy").alias("id"), "n"), "id").withColumn("at", F.array("id"))
     found = stash(verified(inside, sets, jaccard_verifier(threshold), "gram"), "gram-links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
