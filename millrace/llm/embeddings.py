@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bucket_edges, components, verified
-from .common import mix, stash
+from .common import looked_up, mix, quoted, stash
 
 THRESHOLD, RECALL, WIDTH = 0.95, 0.99, 2.0
 
@@ -59,26 +60,28 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Vectors that are null, zero, empty or hold null or non-finite components link with
     nothing, nor do rows whose id is null (component_id is null) or vectors of different
     lengths. Equal vectors are one class during the search and count as links of each
-    other. Ids are meant to be unique; rows that share one share its component. An empty
-    table gives no rows. Other columns are not read.
+    other. n_links counts rows, and component_id is the smallest id of the rows reachable, so
+    rows that share an id are vectors of their own: each has its own links. An empty table
+    gives no rows. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("v"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, found = _matrix(b.column(1))
             ids = b.column(0).to_pylist()
-            digest: list[int | None] = [None] * len(ids)
+            digest: list[list] = [[None] * len(ids), [None] * len(ids)]
             raw: list[bytes | None] = [None] * len(ids)
             for i, x in zip(keep, found, strict=True):
                 if ids[i] is not None:
                     raw[i] = (x + 0.0).tobytes()
-                    digest[i] = int.from_bytes(hashlib.blake2b(raw[i], digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "copy", "v"])
+                    digest[0][i], digest[1][i] = struct.unpack("<qq", hashlib.blake2b(raw[i], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(d, pa.int64()) for d in digest], pa.array(raw, pa.binary())], names=["vec_id", "copy", "copy2", "v"])
 
-    own = stash(rows.mapInArrow(read, "vec_id long, copy long, v binary"), "vectors")
-    classes = own.where("copy IS NOT NULL").groupBy("copy", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-    classes = stash(classes, "vector-classes")
+    own = stash(rows.mapInArrow(read, "vec_id long, copy long, copy2 long, v binary"), "vectors")
+    # equal vectors are found by 128 bits; a class's number is written down with it and stays the same
+    classes = own.where("copy IS NOT NULL").groupBy("copy", "copy2").agg(F.first("v").alias("v"), F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
     k, tables = plan_tables(classes.count(), threshold, recall)
 
     def planes(d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +134,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     found = stash(found, "vector-links")
     counts = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), "vector-links")
-    facts = classes.select("id", "copy", "v", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select("copy", F.col("v").alias("cv"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = own.alias("o").join(facts.alias("f"), (F.col("o.copy") == F.col("f.copy")) & (F.col("o.v") == F.col("f.cv")), "left")
+    facts = classes.select("id", "copy", "copy2", "first", "n").join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR linked > 0")
+    facts = stash(facts.select("copy", "copy2", "first", F.coalesce("root", "id").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "vector-facts")
+    smallest = facts.groupBy("root").agg(F.min("first").alias("component_id"))
+    facts = looked_up(facts, smallest, "root", "inner", "vector-roots").select("copy", "copy2", "n_links", "component_id")
+    out = looked_up(own.select("vec_id", "copy", "copy2"), facts, ["copy", "copy2"], "left", "vector-found")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clusters import bucket_edges, components, verified
-from .common import mix, pieces, ranges, stash, word_hashes, word_spans
+from .common import fresh, looked_up, mix, pieces, quoted, ranges, stash, word_hashes, word_spans
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.995, 5
 #: The bitmap of candidate classes: 2**25 bits are 4 MB, in 64 slots.
@@ -122,21 +123,11 @@ def jaccard_verifier(threshold: float):
     return verify
 
 
-def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
-    """doc_id, class_id, n_links, copy_id of every row of docs.
-
-    copy_id: smallest doc_id with the same shingle set. n_links: other documents whose
-    shingle sets have at least the threshold's Jaccard similarity, copies included.
-    class_id: smallest doc_id reachable by links, itself included.
-
-    Null and empty texts and those of white space alone have no shingles and link with
-    nothing. Repeated rows link with each other; a null id is never the smallest unless a
-    whole class has none (class_id is then null). An empty table gives no rows. Other
-    columns of docs are not read.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, words: int) -> DataFrame:
+    """A row per row of docs: doc_id, key (xxhash64 of the text), copy (of its shingle set), root (its class's, both null without shingles), copy_id, class_id, n_links."""
     spark = docs.sparkSession
     bands, rows = plan_bands(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.xxhash64(quoted(text_col).cast("string")).alias("key"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,9 +135,9 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 sets = shingles(data, at, words)
                 copy = [fingerprint(s) if len(s) else None for s in sets]
                 keys = [band_keys(s, bands, rows) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(copy, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "copy", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), b.column(2).slice(first, len(sets)), pa.array(copy, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "copy", "keys"])
 
-    signed = stash(texts.mapInArrow(sign, "doc_id long, copy long, keys array<long>"), "signatures")
+    signed = stash(texts.mapInArrow(sign, "doc_id long, key long, copy long, keys array<long>"), "signatures")
     classes = stash(signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("keys").alias("keys")), "gram-classes")
     members = classes.select(F.col("copy").alias("id"), F.explode("keys").alias("key"))
     clusters = components(bucket_edges(members, "gram"), "gram-candidates").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
@@ -162,27 +153,67 @@ def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 once = [i for i, ok in zip(once, marked(bits.value, ids[once]), strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([sets[i].tobytes() for i in once], pa.binary())], names=["id", "set"])
 
-    sets = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    sets = texts.select("key", "text").mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
     sets = stash(sets.withColumn("bytes", F.octet_length("set")), "gram-sets")
     inside = clusters.join(classes.select(F.col("copy").alias("id"), "n"), "id").withColumn("at", F.array("id"))
     found = stash(verified(inside, sets, jaccard_verifier(threshold), "gram"), "gram-links")
     links = found.groupBy("id").agg(F.sum("n_links").alias("linked"))
     roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")), "gram-links").withColumnRenamed("node", "id")
-    facts = classes.select(F.col("copy").alias("id"), "copy_id", "n").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    # only classes of several documents or with links are looked up; hot ones need no shuffle of their documents
+    facts = classes.select(F.col("copy").alias("id"), "copy_id", "n").join(links, "id", "left").join(roots, "id", "left").where("n > 1 OR linked > 0")
+    facts = stash(facts.select("id", "copy_id", F.coalesce("root", "id").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "gram-facts")
     smallest = facts.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    facts = facts.join(smallest, "root").select(F.col("id").alias("copy"), "copy_id", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    # documents without shingles have no class; they are kept out of the join, where they would all meet
-    own = F.col("doc_id")
-    linked = signed.where("copy IS NOT NULL").select("doc_id", "copy").join(facts, "copy").select("doc_id", "class_id", "n_links", "copy_id")
-    alone = signed.where("copy IS NULL").select("doc_id", own.alias("class_id"), F.lit(0).cast("long").alias("n_links"), own.alias("copy_id"))
-    return linked.unionByName(alone)
+    facts = looked_up(facts, smallest, "root", "inner", "gram-roots").withColumnRenamed("id", "copy")
+    out = looked_up(signed.select("doc_id", "key", "copy"), facts, "copy", "left", "gram-found")
+    alone = F.col("root").isNull()
+    pick = lambda c, other: F.when(alone, F.col(other)).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "key", "copy", pick("root", "copy"), pick("copy_id", "doc_id"), pick("class_id", "doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class: one document of each group of near copies.
+def near_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
+    """doc_id, class_id, n_links, copy_id of every row of docs.
 
-    Rows that share that doc_id all stay, as do rows whose doc_id is null and whose class has no other.
+    copy_id: smallest doc_id with the same shingle set. n_links: other documents whose
+    shingle sets have at least the threshold's Jaccard similarity, copies included.
+    class_id: smallest doc_id reachable by links, itself included.
+
+    Null and empty texts and those of white space alone have no shingles and link with
+    nothing. Repeated rows link with each other; a null id is never the smallest unless a
+    whole class has none (class_id is then null). Texts of any length count whole. An empty
+    table gives no rows. Other columns of docs are not read.
     """
-    found = near_documents(docs, **options)
-    gone = found.where("class_id IS NOT NULL AND (doc_id IS NULL OR doc_id <> class_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return _linked(docs, id_col, text_col, threshold, recall, words).select("doc_id", "class_id", "n_links", "copy_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS) -> DataFrame:
+    """docs with one row of each class of near copies: that of the smallest doc_id (null last), and of rows with this id that of the smallest hash of its text.
+
+    If rows repeat that one, id and text, one of them stays. Rows without shingles all stay,
+    as do rows of other classes whatever ids they share. Columns stay as they are, whatever
+    their names. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    found = stash(_linked(docs, id_col, text_col, threshold, recall, words).where("root IS NOT NULL").select("doc_id", "key", "root"), "gram-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    several = found.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    inside = looked_up(found, several, "root", "inner", "gram-several").withColumn("stays", F.col("first").eqNullSafe(place))
+    verdict = inside.groupBy("doc_id", "key").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1")
+    verdict = stash(verdict.select(F.col("doc_id").alias("id"), "key", "stays"), "gram-gone")
+    bits = spark.sparkContext.broadcast(bitmap(verdict.select("key")))
+
+    @F.arrow_udf(T.BooleanType())
+    def concerned(key: pa.Array) -> pa.Array:
+        return pa.array(marked(bits.value, key.to_numpy()))
+
+    key, mark, at, first = (fresh(docs, c) for c in ("_key", "_mark", "_at", "_first"))
+    keyed = docs.withColumn(key, F.xxhash64(quoted(text_col).cast("string"))).withColumn(mark, concerned(key))
+    own = quoted(id_col).cast("long")
+    near = keyed.where(mark).alias("d").join(verdict.where("NOT stays").alias("v"), own.eqNullSafe(F.col("v.id")) & (F.col(f"d.{key}") == F.col("v.key")), "left_anti")
+    again = verdict.where("stays")
+    if not again.isEmpty():  # which row stays is written down, so that it does if a task runs again
+        near = stash(near.withColumn(at, F.monotonically_increasing_id()), "gram-again")
+        same = own.eqNullSafe(F.col("v.id")) & (F.col(f"d.{key}") == F.col("v.key"))
+        firsts = near.alias("d").join(again.alias("v"), same).groupBy("v.id", "v.key").agg(F.min(at).alias(first))
+        near = near.alias("d").join(stash(firsts, "gram-firsts").alias("v"), same, "left").where(F.col(first).isNull() | (F.col(at) == F.col(first)))
+    columns = [quoted(c) for c in docs.columns]
+    return keyed.where(~F.col(mark)).select(*columns).unionByName(near.select(*[F.col(f"d.{'`' + c.replace('`', '``') + '`'}") for c in docs.columns]))

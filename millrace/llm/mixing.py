@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, word_count
+from .common import fresh, quoted, stash, word_count
 
 #: Bits of the hash that one histogram resolves; five levels use up a 60-bit hash.
 DIGIT_BITS, LEVELS = 12, 5
@@ -50,25 +50,20 @@ def _digit(level: int) -> Column:
 
 def _row_hash(doc_id: str, text: str) -> Column:
     """60 bits that no other column decides, so that copies of a text differ by their ids."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(doc_id), F.col(text)), 64 - DIGIT_BITS * LEVELS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(17), quoted(doc_id), quoted(text)), 64 - DIGIT_BITS * LEVELS)
 
 
-def plan_mix(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """A row per source: source, source_size, target, copies (whole ones), threshold (hashes below it get one more).
+def _thresholds(rows: DataFrame, need: dict[str | None, float]) -> dict[str | None, tuple[int, int | None, float]]:
+    """For each source: (below, tied, short). Rows whose hash is less than below have together at most the words needed.
 
-    rows: source, size, h. The result is a table made on the driver from one row per source.
+    rows: source, size, h. The next row would have more; it is counted as below if that is
+    nearer. If more than one row has the next hash, tied is that hash and short what is
+    missing without these rows; otherwise tied is None.
     """
     spark = rows.sparkSession
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [r["size"] or 0 for r in found]
-    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most) if found else []
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("low", T.LongType()), T.StructField("need", T.DoubleType())])
-    plan = {}
-    for r, size, aim in zip(found, sizes, aims, strict=True):
-        copies = int(aim // size) if size else 0
-        plan[r["source"]] = [size, aim, copies, 0, aim - copies * size]
-    seek = {s: (0, p[4]) for s, p in plan.items() if p[4] > 0}
+    out: dict[str | None, tuple[int, int | None, float]] = {}
+    seek = {s: (0, n) for s, n in need.items() if n > 0}
     for level in range(LEVELS):
         if not seek:
             break
@@ -78,49 +73,79 @@ def plan_mix(rows: DataFrame, weights: Sequence[float], share: float, most: floa
         digits = near.groupBy(F.col("r.source").alias("source"), _digit(level).alias("digit"), "low", "need").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
         edge = digits.withColumn("upto", upto).where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("words") < F.col("need")))
-        seek, last = {}, level == LEVELS - 1
+        seek, step = {}, DIGIT_BITS * (LEVELS - 1 - level)
         for r in edge.collect():
             short, base = r["need"] - (r["upto"] - r["words"]), (r["low"] << DIGIT_BITS) + r["digit"]
-            if r["n"] > 1 and not last:
+            if r["n"] == 1:  # in or out, whichever is nearer
+                out[r["source"]] = ((base + (2 * short >= r["words"])) << step, None, 0.0)
+            elif level < LEVELS - 1:
                 seek[r["source"]] = (base, short)
-                plan[r["source"]][3] = base << DIGIT_BITS * (LEVELS - 1 - level)
-            else:  # one row, or rows of one hash: in or out, whichever is nearer
-                plan[r["source"]][3] = (base + (2 * short >= r["words"])) << DIGIT_BITS * (LEVELS - 1 - level)
-    rows_out = [(s, p[0], p[1], p[2], p[3]) for s, p in plan.items()]
-    return spark.createDataFrame(rows_out, "source string, source_size long, target double, copies long, threshold long")
+            else:
+                out[r["source"]] = (base, base, short)
+    return out
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: float, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with further columns, whose names are given: size, source_size, target and copies.
+
+    The driver holds a row per source. Rows that differ in nothing that is hashed, at a
+    source's threshold, are stored with a place each, whose hash then parts them as the others.
+    """
+    spark = docs.sparkSession
+    name = {c: fresh(docs, f"_{c}") for c in ("size", "h", "key", "source_size", "target", "whole", "below", "tied", "copies", "place", "source")}
+    source = quoted(source_col).cast("string")
+    sized = docs.withColumns({name["size"]: word_count(quoted(text_col).cast("string")), name["h"]: _row_hash(id_col, text_col), name["key"]: source})
+    rows = stash(sized.select(F.col(name["key"]).alias("source"), F.col(name["size"]).alias("size"), F.col(name["h"]).alias("h")), "mix")
+    found = sorted(rows.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    sizes = [r["size"] or 0 for r in found]
+    aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most) if found else []
+    whole = {r["source"]: int(aim // size) if size else 0 for r, size, aim in zip(found, sizes, aims, strict=True)}
+    cuts = _thresholds(rows, {r["source"]: aim - whole[r["source"]] * size for r, size, aim in zip(found, sizes, aims, strict=True)})
+    schema = T.StructType([T.StructField(name["source"], T.StringType()), *[T.StructField(name[c], k) for c, k in (("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("below", T.LongType()), ("tied", T.LongType()))]])
+
+    def plan(of: list) -> DataFrame:
+        made = spark.createDataFrame(of, schema)
+        return F.broadcast(made) if len(of) <= BROADCAST_SOURCES else made
+
+    facts = [(r["source"], size, aim, whole[r["source"]], *cuts.get(r["source"], (0, None, 0.0))[:2]) for r, size, aim in zip(found, sizes, aims, strict=True)]
+    out = sized.join(plan(facts), F.col(name["key"]).eqNullSafe(F.col(name["source"])))
+    extra = (F.col(name["h"]) < F.col(name["below"])).cast("long")
+    ties = {s: c[2] for s, c in cuts.items() if c[1] is not None}
+    if not ties:
+        return out.withColumn(name["copies"], F.col(name["whole"]) + extra), name
+    same = F.coalesce(F.col(name["h"]) == F.col(name["tied"]), F.lit(False))
+    tied = stash(out.where(same).withColumn(name["place"], F.monotonically_increasing_id()), "mix-ties")
+    own = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(name["place"])), 64 - DIGIT_BITS * LEVELS)
+    inner = _thresholds(tied.select(F.col(name["key"]).alias("source"), F.col(name["size"]).alias("size"), own.alias("h")), ties)
+    part = fresh(tied, "_part")
+    again = spark.createDataFrame([(s, inner.get(s, (0, None, 0.0))[0]) for s in ties], T.StructType([T.StructField(part, T.StringType()), T.StructField(f"{part}below", T.LongType())]))
+    tied = tied.join(F.broadcast(again) if len(ties) <= BROADCAST_SOURCES else again, F.col(name["key"]).eqNullSafe(F.col(part)))
+    tied = tied.withColumn(name["copies"], F.col(name["whole"]) + (own < F.col(f"{part}below")).cast("long")).drop(part, f"{part}below", name["place"])
+    return out.where(~same).withColumn(name["copies"], F.col(name["whole"]) + extra).unionByName(tied), name
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), *, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How often the mix takes each document: doc_id, text, source, size, source_size, target, copies, taken.
 
     Sources in code point order, null last, take weights in turn. Together they share
-    share * (all words); no source is taken more than most times. copies * size = taken.
+    share * (all words); no source is taken more than most times. copies * size = taken, and a
+    source's taken words differ from its target by half its largest document at most.
 
     A null text has size 0; a null source is a source of its own; a null id is hashed like
-    any other value. Rows with the same id and text have the same hash and are taken alike,
-    so a source of one repeated row is taken whole or not at all. A source without words has
-    target 0. An empty table gives no rows. Other columns of docs are not read.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    sized = rows.withColumn("size", word_count("text")).withColumn("h", _row_hash("doc_id", "text"))
-    plan = plan_mix(stash(sized.select("source", "size", "h"), "mix"), weights, share, most).alias("p")
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    copies = F.col("p.copies") + (F.col("h") < F.col("p.threshold")).cast("long")
-    out = sized.alias("d").join(plan, F.col("d.source").eqNullSafe(F.col("p.source")))
-    return out.select("doc_id", "text", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), **options) -> DataFrame:
-    """The mix itself: docs' rows and columns, each row as often as mix_sources takes it.
-
-    docs must have doc_id, text and source and no column named as those mix_sources adds.
+    any other value. Of rows with the same id and text at a source's threshold as many are
+    taken as come nearest; which of them is left open. A source without words has target 0. An
+    empty table gives no rows. Texts of any length count whole. Other columns of docs are not
+    read, so their names don't matter.
     """
-    sized = docs.withColumn("__size", word_count("text")).withColumn("__h", _row_hash("doc_id", "text"))
-    facts = sized.select(F.col("source").cast("string").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
-    plan = plan_mix(stash(facts, "mix"), weights, options.get("share", 1.5), options.get("most", 2.0))
-    plan = plan.select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("threshold").alias("__threshold"))
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    times = (F.col("__copies") + (F.col("__h") < F.col("__threshold")).cast("long")).cast("int")
-    out = sized.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__source")))
-    out = out.withColumn("__times", times).where("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), quoted(source_col).cast("string").alias("source"))
+    out, name = _planned(rows, weights, share, most, "doc_id", "text", "source")
+    own = [F.col(name[c]).alias(c) for c in ("size", "source_size", "target", "copies")]
+    return out.select("doc_id", "text", "source", *own, (F.col(name["copies"]) * F.col(name["size"])).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), *, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: docs' rows and columns, each row as often as mix_sources takes it. Columns may have any names."""
+    out, name = _planned(docs, weights, share, most, id_col, text_col, source_col)
+    times = F.col(name["copies"]).cast("int")
+    out = out.where(times > 0).withColumn(name["place"], F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*[quoted(c) for c in docs.columns])
