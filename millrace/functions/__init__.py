@@ -1 +1 @@
-"""Column functions."""
+"""Aggregates and functions that go beyond the built-in ones."""

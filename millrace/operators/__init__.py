@@ -1 +1 @@
-"""Operators composed of DataFrame operations."""
+"""Joins that Spark has no operator for: as-of and band joins."""

@@ -54,13 +54,13 @@ def parts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS n_large, count(DISTINCT o_custkey) AS customers,
-       min(o_orderdate) AS first_date, max_by(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS largest
+       min(o_orderdate) AS first_date, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS largest
 FROM orders GROUP BY o_orderstatus
 """)
 def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered, distinct and arg-max aggregates in one pass."""
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
-        F.count_if(F.col("o_totalprice") > 200000).alias("n_large"), F.countDistinct("o_custkey").alias("customers"), F.min("o_orderdate").alias("first_date"), F.max_by("o_orderkey", F.col("o_totalprice") * 1000000 + F.col("o_orderkey")).alias("largest")
+        F.count_if(F.col("o_totalprice") > 200000).alias("n_large"), F.countDistinct("o_custkey").alias("customers"), F.min("o_orderdate").alias("first_date"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("largest")
     )
 
 

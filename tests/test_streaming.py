@@ -1,9 +1,10 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.streaming import windows
+from millrace.streaming import state, windows
 
 T0 = datetime(2024, 1, 1)
 ROWS = [(1, "a", 0), (2, "a", 20), (2, "a", 20), (3, "b", 30), (4, "a", 130), (5, "b", 300)]
@@ -16,7 +17,8 @@ def streamed(spark, tmp_path):
     def run(operator, *, mode="append", more=()):
         folder = tmp_path / "in"
         spark.createDataFrame([(i, u, T0 + timedelta(minutes=m)) for i, u, m in ROWS], "id long, user string, ts timestamp_ntz").coalesce(1).write.parquet(str(folder))
-        for k, part in enumerate(more):
+        for part in more:
+            time.sleep(1.1)  # files are taken in order of their times
             spark.createDataFrame([(i, u, T0 + timedelta(minutes=m)) for i, u, m in part], "id long, user string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(str(folder))
         stream = spark.readStream.schema("id long, user string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(folder))
         name = f"t{abs(hash(str(tmp_path)))}"
@@ -50,6 +52,36 @@ def test_first_seen(streamed):
     assert [r[0] for r in streamed(lambda df: windows.first_seen(df.select("id", "user", "ts"), ["id"]))] == [1, 2, 3, 4, 5]
 
 
+def test_sliding(streamed):
+    got = streamed(lambda df: windows.windowed(df, ["user"], [F.count("*").alias("n")], size="1 hour", slide="30 minutes"), mode="complete")
+    assert [g for g in got if g[0] == "b"] == [("b", at(0), at(60), 1), ("b", at(30), at(90), 1), ("b", at(270), at(330), 1), ("b", at(300), at(360), 1)]
+
+
+def test_late_rows_are_dropped_and_punctual_ones_kept(streamed):
+    # the first file moves the watermark to minute 290, which holds for what comes after the second
+    got = streamed(lambda df: windows.windowed(df, ["user"], [F.count("*").alias("n")]), more=[[(6, "a", 295)], [(7, "a", 10)], [(8, "b", 700)]])
+    assert got == [("a", at(0), at(60), 3), ("a", at(120), at(180), 1), ("a", at(240), at(300), 1), ("b", at(0), at(60), 1), ("b", at(300), at(360), 1)]
+
+
+def test_update_mode_gives_only_what_changed(streamed):
+    got = streamed(lambda df: windows.windowed(df, ["user"], [F.count("*").alias("n")]), mode="update", more=[[(6, "b", 310)]])
+    assert got.count(("b", at(300), at(360), 1)) == 1 and got.count(("b", at(300), at(360), 2)) == 1 and got.count(("a", at(0), at(60), 3)) == 1
+
+
+def test_paired_streams(streamed):
+    def both(df):
+        a = df.where("id < 3").select(F.col("id").alias("left_id"), "user", F.col("ts").alias("lts"))
+        b = df.where("id >= 3").select(F.col("id").alias("right_id"), "user", F.col("ts").alias("rts"))
+        return windows.paired(a, b, ["user"], left_ts="lts", right_ts="rts", within="2 hours").select("left_id", "right_id")
+
+    assert streamed(both) == [(2, 4), (2, 4)]
+
+
+def test_bursts(streamed):
+    got = streamed(lambda df: state.bursts(df, "user", at_least=3), more=[[(9, "c", 900)], [(9, "c", 901)]])
+    assert got == [("a", at(0), at(20), 3)]
+
+
 def test_paired_in_batch(spark):
     left = spark.createDataFrame([(1, "a", T0)], "id long, user string, lts timestamp")
     right = spark.createDataFrame([(7, "a", at(5)), (8, "a", at(15)), (9, "b", at(5))], "rid long, user string, rts timestamp")
