@@ -4,9 +4,9 @@ Four base kinds are found by pattern and checked. For other private data, loose
 give candidate spans, and labelers of three sorts vote on each (+1, 0, -1): regex and shape,
 gazetteers of words before the span, and its context. Expectation-maximisation over the
 corpus-wide counts of vote patterns estimates every labeler's reliability for each kind; the
-posteriors then train a logistic classifier on span features that decides which candidates
-become spans. Counts of (kind, votes, features) have a fixed number of keys, so what the
-driver receives is bounded whatever the corpus.
+posteriors then train a logistic classifier on features of the spans, none of them a vote,
+that decides which candidates become spans. Counts of (kind, votes, features) have a fixed
+number of keys, so what the driver receives is bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, stash
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the aggregated labelers decide; a local number is a phone without its plus.
 ADDED = ("iban", "local_phone", "name", "secret", "ssn")
@@ -33,24 +35,33 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Words that announce private data, and words that announce other numbers.
+# Words that announce private data, words that announce other numbers, titles and first names.
 CUES = {
-    "iban": {"iban", "account", "konto", "cuenta", "compte"},
-    "local_phone": {"phone", "tel", "telephone", "call", "mobile", "fax", "cell", "telefon", "telefono", "teléfono"},
-    "name": {"mr", "mrs", "ms", "dr", "prof", "herr", "frau", "señor", "señora", "monsieur", "madame", "name", "contact"},
-    "secret": {"token", "key", "secret", "password", "passwd", "pwd", "apikey", "api_key", "access_key", "bearer", "credential", "auth"},
-    "ssn": {"ssn", "social", "security"},
+    "iban": set("iban account konto kontonummer cuenta compte conto bank bic".split()),
+    "local_phone": set("phone tel telephone call mobile fax cell telefon telefono teléfono téléphone handy móvil portable ring dial".split()),
+    "name": set("name contact author signed from sincerely regards dear liebe lieber sehr estimado estimada cher chère nombre nom von by".split()),
+    "secret": set("token key secret password passwd pwd apikey api_key access_key bearer credential credentials auth authorization passphrase passwort contraseña clave signature".split()),
+    "ssn": set("ssn social security insurance taxpayer".split()),
 }
-OTHER = {"isbn", "order", "invoice", "version", "page", "item", "model", "commit", "build", "ticket", "no", "sha", "md5", "hash", "checksum", "url", "http", "https"}
-FIRST_NAMES = {"anna", "maria", "john", "james", "mary", "michael", "peter", "paul", "thomas", "david", "sarah", "laura", "juan", "jose", "carlos", "luis", "marie", "jean", "pierre", "hans", "klaus", "ursula", "emma", "robert", "linda", "william"}
-
-_CANDIDATES = re.compile(
-    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
+OTHER = set("isbn order invoice version page item model commit build ticket no sha sha1 sha256 md5 hash checksum url http https rfc doi issn part figure table section".split())
+TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Frau Señor Señora Señorita Sr Sra Don Doña Monsieur Madame Mademoiselle Mme Mlle".split()
+FIRST_NAMES = """Adam Alan Albert Alejandro Alexander Alice Amanda Amelia Amy Ana Andrea Andrew Angela Anna Anne Anthony Antonio Arthur Barbara Beatriz Benjamin
+Brian Camille Carla Carlos Carmen Carol Caroline Catherine Charles Charlotte Christian Christine Christopher Claire Claudia Daniel David Diego Dominique Dorothy
+Edward Elena Elizabeth Emily Emma Eric Fernando Florian François Frank Franz Gabriel George Grace Greta Hannah Hans Heinrich Helen Helga Henry Ines Isabel Jack
+Jacques James Jane Jean Jennifer Jessica Johann John Jonas Jorge Joseph José Juan Julia Julien Jürgen Karen Karl Katharina Kevin Klaus Laura Lena Lisa Louis
+Lucia Luis Lukas Manuel Margaret Maria Marie Mark Martin Mary Matthew Michael Miguel Monika Nancy Nicolas Oliver Pablo Patricia Paul Pedro Peter Philippe Pierre
+Rafael Rebecca Richard Robert Rosa Ruth Sabine Samuel Sandra Sarah Sebastian Sofia Sophie Stefan Stephen Susan Teresa Thomas Ursula Victor William Wolfgang""".split()
+_FIRST = frozenset(FIRST_NAMES)
+
+_DIGITS = re.compile(r"[0-9]")
+_NUMBERED = re.compile(
+    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"  # an IBAN has 34 characters at most
     r"|(?P<ssn>\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b)"
     r"|(?P<local_phone>(?:\([0-9]{2,4}\)[ ]?|\b[0-9]{3,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}\b)"
-    r"|(?P<secret>(?<![A-Za-z0-9_+/@.-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{16,512}(?![A-Za-z0-9_@]))"
-    r"|(?P<name>\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Name|Contact)\b[.:]?[ ])(?P<who>[A-Z][a-z]{1,20}(?:[ ][A-Z][a-z]{1,20}){0,2})"
+    r"|(?P<secret>(?<![A-Za-z0-9_+/@.-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_@]))"
 )
+_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*+"
+_NAMED = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b[.:]?[ ]+(?P<who>{_WORD}(?:[ ]{_WORD}){{0,3}})|(?P<first>(?:{'|'.join(FIRST_NAMES)})(?:-{_WORD})?(?:[ ]{_WORD}){{1,3}}))")
 LABELERS = 5
 Span = tuple[str, int, int]
 
@@ -103,17 +114,46 @@ def _iban_ok(s: str) -> bool:
 
 
 _BEFORE = re.compile(r"([\w]+)[^\w]{0,6}$")
+_RUN = re.compile(r"([0-9])\1{4}")
+
+
+def _found(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Kind, start, end of every candidate, and whether a title stands before it; from left to right, none within another."""
+    made = []
+    if _DIGITS.search(text):
+        for m in _NUMBERED.finditer(text):
+            if m.lastgroup != "secret" or _DIGITS.search(m[0]):
+                made.append((m.start(), m.end(), m.lastgroup, False))
+    for m in _NAMED.finditer(text):
+        start = m.start("who") if m["title"] else m.start("first")
+        end = start
+        for word in text[start : m.end()].split(" "):
+            if not word[0].isupper():
+                break
+            end += len(word) + (end > start)
+        if end > start and (m["title"] or " " in text[start:end]):
+            made.append((start, end, "name", bool(m["title"])))
+    last = 0
+    for a, b, kind, titled in sorted(made):
+        if a >= last:
+            yield kind, a, b, titled
+            last = b
+
+
+def _side(c: str) -> int:
+    """What sort of character stands beside a span: 0 none or white space, 1 a quote, = or :, 2 a letter or digit, 3 another."""
+    return 0 if not c or c.isspace() else 1 if c in "=:\"'`" else 2 if c.isalnum() else 3
 
 
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[Span, tuple[int, ...], tuple[int, ...]]]:
-    """Candidate spans that meet no base span, their votes and their features."""
+    """Candidate spans that meet no base span, their votes, and features of their own characters and neighbours.
+
+    The labelers: the kind's form, gazetteers of words before it, what joins it to such a
+    word, what encloses it, and how regular its characters are. No feature is a vote.
+    """
     ends = sorted((a, b) for _, a, b in taken)
     i = 0
-    for m in _CANDIDATES.finditer(text):
-        kind = m.lastgroup
-        a, b = m.span(kind)
-        if kind == "who":
-            kind = "name"
+    for kind, a, b, titled in _found(text):
         while i < len(ends) and ends[i][1] <= a:
             i += 1
         if i < len(ends) and ends[i][0] < b:
@@ -121,18 +161,15 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[Span, tuple[int,
         s = text[a:b]
         near = text[max(0, a - 24) : a]
         word = (w := _BEFORE.search(near)) and w[1].lower() or ""
-        if kind == "name":
-            word = m["name"].strip(" .:").lower()
-        digits = sum(map(str.isdigit, s))
+        digits, upper = sum(map(str.isdigit, s)), sum(map(str.isupper, s))
         after = text[b : b + 1]
         shape = {"iban": lambda: _iban_ok(s), "ssn": lambda: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00", "local_phone": lambda: 9 <= digits <= 12, "secret": lambda: len(s) >= 20 and digits >= 3 and (len(s) - digits) >= 3, "name": lambda: " " in s}[kind]()
-        gazetteer = 1 if word in CUES[kind] or kind == "name" and s.split()[0].lower() in FIRST_NAMES else -1 if word in OTHER else 0
-        link = near.rstrip()[-1:] in tuple("=:\"'`")
-        context = 1 if link else 0
+        gazetteer = 1 if word in CUES[kind] or kind == "name" and s.split()[0].split("-")[0] in _FIRST else -1 if word in OTHER else 0
+        context = 1 if titled or near.rstrip()[-1:] in tuple("=:\"'`") else 0
         closed = 1 if near[-1:] in ('"', "'", "`") and after == near[-1:] else -1 if after.isalnum() else 0
-        odd = (1 if _entropy(s) >= 3.2 else -1) if kind == "secret" else (1 if digits and not re.search(r"([0-9])\1{4}", s) else 0)
+        odd = (1 if _entropy(s) >= 3.2 else -1) if kind == "secret" else (1 if digits and not _RUN.search(s) else 0)
         votes = (1 if shape else -1, gazetteer, context, closed, odd)
-        features = (min(5, len(s) // 8), min(4, 5 * digits // max(1, len(s))), min(2, sum(map(str.isupper, s))), int(link), int(bool(word in CUES[kind])))
+        features = (min(5, len(s) // 8), min(4, 5 * digits // max(1, len(s))), min(3, 4 * upper // max(1, len(s))), min(3, len(set(s)) // 6), _side(near[-1:]), _side(after))
         yield (kind, a, b), votes, features
 
 
@@ -157,12 +194,13 @@ def _em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarra
     return post
 
 
-def _one_hot(kind: str, features: tuple[int, ...], votes: tuple[int, ...]) -> list[float]:
+FEATURES = (6, 5, 4, 4, 4, 4)
+
+
+def _one_hot(features: tuple[int, ...]) -> list[float]:
     out = [1.0]
-    for v, n in zip(features, (6, 5, 3, 2, 2), strict=True):
+    for v, n in zip(features, FEATURES, strict=True):
         out += [float(v == i) for i in range(n)]
-    for v in votes:
-        out += [float(v == 1), float(v == -1)]
     return out
 
 
@@ -180,7 +218,7 @@ class SpanModel:
                 by_votes[v] += n
             patterns = list(by_votes)
             post = dict(zip(patterns, _em(np.array(patterns), np.array([by_votes[p] for p in patterns], float)), strict=True))
-            x = np.array([_one_hot(kind, f, v) for _, v, f, _ in rows])
+            x = np.array([_one_hot(f) for _, _, f, _ in rows])
             y, n = np.array([post[v] for _, v, _, _ in rows]), np.array([r[3] for r in rows], float)
             w, n = np.zeros(x.shape[1]), n / n.sum()
             for _ in range(60):  # Newton steps with a small ridge
@@ -192,49 +230,63 @@ class SpanModel:
                     break
             self.weights[kind] = w
 
-    def accepts(self, kind: str, votes: tuple[int, ...], features: tuple[int, ...]) -> bool:
-        return kind in self.weights and float(np.dot(self.weights[kind], _one_hot(kind, features, votes))) > 0
+    def accepts(self, kind: str, features: tuple[int, ...]) -> bool:
+        return kind in self.weights and float(np.dot(self.weights[kind], _one_hot(features))) > 0
+
+
+_SPANS = "array<struct<kind:string,start:long,end:long>>"
+_CANDIDATES = "array<struct<kind:string,start:long,end:long,votes:array<int>,features:array<int>>>"
 
 
-def fit(docs: DataFrame, *, text_col: str = "text") -> SpanModel:
-    """Count votes and features over all texts and train on the counts."""
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base_spans and candidates of every row: all that a text has to be read for."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    candidate = pa.struct([*span, ("votes", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update((kind, v, f) for (kind, _, _), v, f in candidates(t, base_spans(t)))
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([list(k[1]) for k in keys], pa.list_(pa.int32())), pa.array([list(k[2]) for k in keys], pa.list_(pa.int32())), pa.array([seen[k] for k in keys], pa.int64())], names=["kind", "votes", "features", "n"])
-
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, votes array<int>, features array<int>, n long")
-    table = found.groupBy("kind", "votes", "features").agg(F.sum("n").alias("n")).collect()
+            base, maybe = [], []
+            for t in b.column(1).to_pylist():
+                own = base_spans(t) if t and ("@" in t or _DIGITS.search(t)) else []
+                base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
+                maybe.append([{"kind": k, "start": s, "end": e, "votes": v, "features": f} for (k, s, e), v, f in candidates(t or "", own)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(span)), pa.array(maybe, pa.list_(candidate))], names=["doc_id", "base_spans", "candidates"])
+
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, base_spans {_SPANS}, candidates {_CANDIDATES}")
+
+
+def fit(scanned: DataFrame) -> SpanModel:
+    """Count votes and features over all candidates of ``scan``'s rows and train on the counts."""
+    each = scanned.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.features")
+    table = each.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")).collect()
     return SpanModel(sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in table))
 
 
-def find_private(docs: DataFrame, model: SpanModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, model: SpanModel | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base_spans and added_spans (arrays of kind, start, end; code points, end exclusive) of every row.
 
-    A null text counts as empty and has no spans. Repeated rows give repeated results; ids
-    and other columns are not looked at, and an empty table gives no rows.
+    Without a model, one is fitted on docs itself; either way every text is read once. A null
+    text counts as empty and has no spans; texts and spans of any length count whole. Repeated
+    rows give repeated results; ids and other columns are not looked at, so their names don't
+    matter, and an empty table gives no rows.
     """
+    scanned = scan(docs, id_col=id_col, text_col=text_col)
+    if model is None:
+        scanned = stash(scanned, "private")
+        model = fit(scanned)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few dozen weights
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, added = [], []
-            for t in b.column(1).to_pylist():
-                own = base_spans(t or "")
-                base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-                more = sorted(c for c, v, f in candidates(t or "", own) if sent.value.accepts(c[0], v, f))
-                added.append([{"kind": k, "start": s, "end": e} for k, s, e in more])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, span), pa.array(added, span)], names=["doc_id", "base_spans", "added_spans"])
+            added = []
+            for maybe in b.column(2).to_pylist():
+                some = [c for c in maybe if sent.value.accepts(c["kind"], c["features"])]
+                added.append(sorted(({k: c[k] for k in ("kind", "start", "end")} for c in some), key=lambda c: (c["kind"], c["start"])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(added, span)], names=["doc_id", "base_spans", "added_spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "array<struct<kind:string,start:long,end:long>>"
-    return rows.mapInArrow(run, f"doc_id long, base_spans {kind}, added_spans {kind}")
+    return scanned.mapInArrow(decide, f"doc_id long, base_spans {_SPANS}, added_spans {_SPANS}")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -248,10 +300,10 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
-    """find_private's spans as counts, the base spans' SHA-256 and all spans as text."""
+    """find_private's spans as counts, the base spans' SHA-256, all spans as text and their number."""
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(said(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), said(F.concat("base_spans", "added_spans")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE], F.sha2(said(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), said(F.concat("base_spans", "added_spans")).alias("spans"), (F.size("base_spans") + F.size("added_spans")).cast("long").alias("n_spans"))
 
 
 def sha256_of(spans: list[Span]) -> str:

@@ -69,10 +69,9 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import digest_columns, find_private, fit
+    from .pii import digest_columns, find_private
 
-    docs = _table(spark, sf_dir, "documents")
-    return digest_columns(find_private(docs, fit(docs)))
+    return digest_columns(find_private(_table(spark, sf_dir, "documents")))
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,13 +259,50 @@ def test_every_label_and_long_texts_are_learned(spark, monkeypatch):
 
 
 def test_private_data(docs, none):
-    found = pii.digest_columns(pii.find_private(docs, pii.fit(docs))).collect()
+    found = pii.digest_columns(pii.find_private(docs)).collect()
     by = {r["doc_id"]: r for r in found}
     assert (by[10]["n_email"], by[10]["n_ip"], by[10]["n_phone"]) == (1, 1, 1) and by[3]["spans"] == ""
-    assert pii.find_private(none, pii.fit(none)).count() == 0
+    assert pii.find_private(none).count() == 0
     assert pii.masked("mail a@b.co now", [("email", 5, 11)]) == "mail [email] now"
 
 
+def _iban(country: str, account: str) -> str:
+    raw = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{country}{98 - int(raw) % 97:02d}{account}"
+
+
+def test_added_spans_of_every_kind(spark):
+    r = random.Random(9)
+    some = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    filler = lambda: " ".join(some("abcdefghij", r.randint(2, 8)) for _ in range(8))
+    make = {
+        "iban": lambda: (_iban("DE", some("0123456789", 18)), ["iban ", "account: "]),
+        "ssn": lambda: (f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", ["ssn ", "social security "]),
+        "local_phone": lambda: (f"({some('23456789', 3)}) {some('23456789', 3)}-{some('0123456789', 4)}", ["call ", "tel: "]),
+        "secret": lambda: (some("0123456789abcdef", 40) + "1a", ["token = ", "password="]),
+        "name": lambda: (r.choice(["Müller", "Jean-Luc Picard", "Anna O’Neil", "José García"]), ["Mr. ", "Frau ", "Señora ", "Dr. "]),
+    }
+    rows, want = [], {}
+    for kind, of in make.items():
+        for k in range(60):
+            value, before = of()
+            head = f"{filler()} {r.choice(before)}"
+            rows.append((len(rows), f"{head}{value} {filler()}"))
+            want[len(rows) - 1] = (kind, len(head), len(head) + len(value))
+    clean = len(rows)
+    rows += [(clean + k, f"{filler()} isbn {some('0123456789', 13)} order {some('0123456789', 6)} {some('abcdef', 30)} {filler()}") for k in range(60)]
+    got = {x["doc_id"]: [tuple(s) for s in x["added_spans"]] for x in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in make:
+        mine = [i for i, w in want.items() if w[0] == kind]
+        assert sum(want[i] in got[i] for i in mine) >= 0.9 * len(mine), kind
+    assert sum(bool(got[i]) for i in range(clean, len(rows))) <= 3
+
+
+def test_long_secrets_and_late_digits():
+    text = f"key {'x' * 600}1 and {'a' * 60}7{'b' * 20} not {'c' * 40}"
+    assert [s for s, _, _ in pii.candidates(text, [])] == [("secret", 4, 605), ("secret", 610, 691)]
+
+
 def test_base_spans_are_the_patterns():
     def plain(t: str) -> list:
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
