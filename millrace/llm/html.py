@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,10 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>", re.S)
+from .common import quoted
+
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: What a tag holds up to its end, with quoted values whole; and up to the next ">" whatever the quotes.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LENIENT = re.compile(r"([^>]*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_VALUE_ENDS = re.compile(r"=\s*[^\s\"'>]*/\Z")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Fixed values of HTML: elements without content, with raw text, without rendering, with blocks of their own.
@@ -55,25 +61,49 @@ CLOSES = {
 SCOPE = frozenset("button table td th caption".split())
 
 
+def _empty(rest: str) -> bool:
+    """Whether a tag's "/>" closes it, and is no part of an unquoted value."""
+    if not rest.endswith("/"):
+        return False
+    start = max(rest.rfind(c) for c in " \t\n\r\f\"'>") + 1
+    return "=" not in rest[start:] and not rest[:start].rstrip().endswith("=")
+
+
 def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """("text", text, {}), ("open", name, attributes) and ("close", name, {}); a raw element's text as it stands.
 
-    An empty foreign element gives both tags, and so does foreign content that an HTML tag ends.
+    An empty foreign element gives both tags, and so does foreign content that an HTML tag
+    ends. What is no tag is text. A quote that is never closed would hold the rest of the page:
+    from there on, tags end at the next ">" whatever their quotes. Every character is looked at
+    a bounded number of times.
     """
-    at = 0
+    at = text_from = 0
+    last, lenient = source.rfind(">"), False
     foreign: list[str] = []  # open svg and math, and the elements in them where HTML goes on
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        if not m:
-            yield "text", html.unescape(source[at:]), {}
+    while True:
+        start = source.find("<", at)
+        if start == -1 or start >= last and not source.startswith("<!--", start):
+            yield "text", html.unescape(source[text_from:]), {}
             return
-        if m.start() > at:
-            yield "text", html.unescape(source[at : m.start()]), {}
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = len(source) if end == -1 else end + 3
+        elif source[start + 1 : start + 2] in ("!", "?"):
+            end = source.find(">", start) + 1
+        elif m := _NAME.match(source, start):
+            tag = None if lenient else _REST.match(source, m.end())
+            if not tag:
+                lenient, tag = True, _LENIENT.match(source, m.end())
+            end = tag.end()
+        else:
+            at = start + 1
             continue
-        ends = bool(m["end"] or m["end2"])
+        if start > text_from:
+            yield "text", html.unescape(source[text_from:start]), {}
+        at = text_from = end
+        if source[start + 1] in "!?":
+            continue
+        ends, name, rest = bool(m[1]), m[2].lower(), tag[1]
         if foreign and (name == "p" if ends else name in BREAKOUT):
             while foreign and foreign[-1] in FOREIGN:
                 yield "close", foreign.pop(), {}
@@ -82,84 +112,103 @@ def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 del foreign[len(foreign) - 1 - foreign[::-1].index(name) :]
             yield "close", name, {}
             continue
-        rest = m["rest"] if m["name"] else m["rest2"]
         yield "open", name, {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t") else {}
         inside = bool(foreign) and foreign[-1] in FOREIGN
         if inside or name in FOREIGN:
-            if rest.endswith("/") and not _VALUE_ENDS.search(rest):
+            if _empty(rest):
                 yield "close", name, {}
                 continue
             if name in FOREIGN or name in INTEGRATION:
                 foreign.append(name)
         if name in RAW:
-            end = re.compile(rf"</(?:{name}{'|svg|math' if inside else ''})(?=[\s/>])", re.I).search(source, at)
-            stop = end.start() if end else len(source)
+            found = re.compile(rf"</(?:{name}{'|svg|math' if inside else ''})(?=[\s/>])", re.I).search(source, at)
+            stop = found.start() if found else len(source)
             yield "text", html.unescape(source[at:stop]) if name in ("textarea", "title") else source[at:stop], {}
-            at = stop
+            at = text_from = stop
+
+
+def _shown(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is laid out at all. aria-hidden is for readers of another kind: its text is on the page."""
+    return not (name in UNSEEN or "hidden" in attributes or _NO_DISPLAY.search(attributes.get("style", "")) or name == "input" or name == "dialog" and "open" not in attributes)
+
 
+class _Open:
+    """The stack of open elements, and where in it each name stands."""
 
-def _hidden(name: str, attributes: dict[str, str]) -> bool:
-    return name in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(attributes.get("style", ""))) or name == "input" or name == "dialog" and "open" not in attributes
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # name, laid out, visible
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.hidden = 0
+
+    def push(self, name: str, shown: bool, visible: bool) -> None:
+        self.at[name].append(len(self.stack))
+        self.stack.append((name, shown, visible))
+        self.hidden += not shown
+
+    def pop(self) -> tuple[str, bool, bool]:
+        name, shown, visible = self.stack.pop()
+        self.at[name].pop()
+        self.hidden -= not shown
+        return name, shown, visible
+
+    def last(self, names: frozenset[str]) -> int:
+        """Place of the innermost open element of these names, -1 if there is none."""
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    @property
+    def visible(self) -> bool:
+        return not self.stack or self.stack[-1][2]
+
+
+_TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+_WALLS = frozenset("td th table".split())
+_PASSES = frozenset("table tr tbody thead tfoot td th body html".split())
 
 
 def parsed(source: str, shown: frozenset[str] = frozenset()) -> Iterator[tuple[str, str, dict[str, str], bool]]:
     """What a page shows, with implied tags: ("text", text, {}, True), ("open", name, attributes, seen) and ("close", name, {}, True).
 
-    Nothing in a hidden element is given, and of the element itself only its opening tag, with
-    seen False; elements named in shown are never hidden. Elements without content aren't closed.
+    Nothing in an element that isn't laid out is given, and of the element itself only its
+    opening tag, with seen False; elements named in shown always are. Text of an invisible
+    element is left out but for that of visible ones in it. Elements without content aren't closed.
     """
-    open_: list[tuple[str, bool]] = []
-    hidden = 0
+    open_ = _Open()
 
     def pop_to(i: int) -> Iterator[tuple[str, str, dict[str, str], bool]]:
-        nonlocal hidden
-        while len(open_) > i:
-            name, seen = open_.pop()
-            if not seen:
-                hidden -= 1
-            elif not hidden:
+        while len(open_.stack) > i:
+            name, laid_out, _ = open_.pop()
+            if laid_out and not open_.hidden:
                 yield "close", name, {}, True
 
     for kind, name, attributes in tokens(source):
-        if kind != "close" and open_ and open_[-1][0] == "head" and (name not in IN_HEAD if kind == "open" else name.strip(" \t\n\r\f")):
-            yield from pop_to(len(open_) - 1)
+        stack = open_.stack
+        if kind != "close" and stack and stack[-1][0] == "head" and (name not in IN_HEAD if kind == "open" else name.strip(" \t\n\r\f")):
+            yield from pop_to(len(stack) - 1)
         if kind == "text":
-            if hidden or open_ and open_[-1][0] in ("table", "tbody", "thead", "tfoot", "tr") and not name.strip():
+            if open_.hidden or not open_.visible or stack and stack[-1][0] in _TABLE_PARTS and not name.strip():
                 continue
             yield "text", name, {}, True
         elif kind == "open":
             ends, limit = CLOSES.get(name, (frozenset(), frozenset()))
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in limit:
-                    break
-                if open_[i][0] in ends:
-                    yield from pop_to(i)
-                    break
-            if name in BLOCKS and name not in ("html", "body"):
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] in SCOPE:
-                        break
-                    if open_[i][0] == "p":
-                        yield from pop_to(i)
-                        break
-            if name in ("td", "th") and not any(o[0] == "table" for o in open_):
+            if (i := open_.last(ends)) > open_.last(limit):
+                yield from pop_to(i)
+            if name in BLOCKS and name not in ("html", "body") and open_.at["p"] and (i := open_.at["p"][-1]) > open_.last(SCOPE):
+                yield from pop_to(i)
+            if name in ("td", "th") and not open_.at["table"]:
                 name = "span"  # a cell outside a table is plain text
-            seen = name in shown or not _hidden(name, attributes)
-            if not hidden:
-                yield "open", name, attributes, seen
+            laid_out = name in shown or _shown(name, attributes)
+            said = _VISIBILITY.search(attributes.get("style", ""))
+            visible = said[1].lower() == "visible" if said else open_.visible
+            if not open_.hidden:
+                yield "open", name, attributes, laid_out and (visible or name not in VOID)
             if name not in VOID:
-                open_.append((name, seen))
-                hidden += not seen
+                open_.push(name, laid_out, visible)
         else:
-            if name == "p" and not any(o[0] == "p" for o in open_) and not hidden:
+            if name == "p" and not open_.at["p"] and not open_.hidden:
                 yield "open", "p", {}, True
                 yield "close", "p", {}, True
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    yield from pop_to(i)
-                    break
-                if open_[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                    break
+            if open_.at[name] and (name in _PASSES or open_.at[name][-1] > open_.last(_WALLS)):
+                yield from pop_to(open_.at[name][-1])
     yield from pop_to(0)
 
 
@@ -176,8 +225,8 @@ class _Flow:
         if not s:
             return
         if not self.now:
-            if self.lines and self.gap > 1:
-                self.lines.append("")
+            if self.lines:
+                self.lines += [""] * (self.gap - 1)
             self.gap = 0
             self.now.append(lead)
         self.now.append(s)
@@ -188,24 +237,102 @@ class _Flow:
             self.now = []
         self.gap, self.space = max(self.gap, gap), False
 
+    def br(self) -> None:
+        """Ends the line; after an ended one, an empty line."""
+        if self.now:
+            self.end(1)
+        else:
+            self.gap += 1
+
+
+def _number(attributes: dict[str, str], name: str, most: int) -> int:
+    value = attributes.get(name, "").strip()
+    return min(max(1, int(value)), most) if re.fullmatch(r"[0-9]{1,9}", value) else 1
+
 
 @dataclass
 class _Table:
-    rows: list[list[list[str]]] = field(default_factory=list)
+    """Cells by row: column, columns spanned, lines. Columns that cells of earlier rows still span are passed over."""
+
+    rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)
+    busy: list[tuple[int, int, int]] = field(default_factory=list)  # column, columns and rows left, by column
+    held: list[tuple[int, int, int]] = field(default_factory=list)  # the same of this row's cells, for the next row
+    next: int = 0
+    passed: int = 0
+    span: tuple[int, int] = (1, 1)
+
+    def row(self) -> None:
+        if self.rows:
+            self.busy = sorted((c, n, left - 1) for c, n, left in [*self.busy, *self.held] if left > 1)
+        self.rows.append([])
+        self.next = self.passed = 0
+        self.held = []
+
+    def cell(self, lines: list[str]) -> None:
+        if not self.rows:
+            self.row()
+        wide, high = self.span
+        while self.passed < len(self.busy) and self.busy[self.passed][0] < self.next + wide:
+            self.next = max(self.next, sum(self.busy[self.passed][:2]))
+            self.passed += 1
+        self.rows[-1].append((self.next, wide, lines))
+        self.next += wide
+        if high > 1:
+            self.held.append((self.rows[-1][-1][0], wide, high))
 
     def lines(self) -> list[str]:
-        """Cells of a column start at the same place, two spaces after the widest of the one before."""
-        wide = [0] * max((len(r) for r in self.rows), default=0)
-        for r in self.rows:
-            for i, cell in enumerate(r):
-                wide[i] = max([wide[i], *map(len, cell)])
+        """Cells of a column start at the same place, two spaces after the widest of the one before.
+
+        Cells wider than WIDEST_CELL are broken into lines. A table wider than WIDEST_TABLE
+        isn't aligned: its cells follow one another, two spaces apart.
+        """
+        rows = [[(c, n, _broken(cell)) for c, n, cell in r] for r in self.rows]
+        wide: dict[int, int] = {}
+        for r in rows:
+            for c, n, cell in r:
+                if n == 1:
+                    wide[c] = max([wide.get(c, 0), *map(len, cell)])
+        for r in rows:
+            for c, n, cell in r:
+                if n > 1:
+                    short = max(map(len, cell), default=0) - sum(wide.get(k, 0) for k in range(c, c + n)) - 2 * (n - 1)
+                    if short > 0:
+                        wide[c + n - 1] = wide.get(c + n - 1, 0) + short
+        starts, at = {}, 0
+        for c in range(max(wide, default=-1) + 1):
+            starts[c] = at
+            at += wide.get(c, 0) + 2
+        aligned = at <= WIDEST_TABLE
         out = []
-        for r in self.rows:
-            for k in range(max((len(c) for c in r), default=0)):
-                out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(r, wide, strict=False)).rstrip())
+        for r in rows:
+            for k in range(max((len(cell) for _, _, cell in r), default=0)):
+                line: list[str] = []
+                long = 0
+                for c, _, cell in r:
+                    if k < len(cell) and cell[k]:
+                        gap = starts.get(c, 0) - long if aligned else 2 if long else 0
+                        line.append(" " * gap + cell[k])
+                        long += max(gap, 0) + len(cell[k])
+                out.append("".join(line).rstrip())
         return out
 
 
+#: Characters of a cell's line and of an aligned table's, and levels of tables and of indents, at most: they bound what a page can grow to.
+WIDEST_CELL, WIDEST_TABLE, DEEPEST_TABLE, DEEPEST_INDENT = 200, 2000, 12, 30
+
+
+def _broken(lines: list[str]) -> list[str]:
+    out = []
+    for line in lines:
+        while len(line) > WIDEST_CELL:
+            at = line.rfind(" ", 1, WIDEST_CELL + 1)
+            at = at if at > 0 else WIDEST_CELL
+            out.append(line[:at].rstrip())
+            line = line[at:].lstrip(" ")
+        out.append(line)
+    return out
+
+
 def render(source: str) -> str:
     """All visible text: blocks on lines of their own, paragraphs and the like set apart by an empty line, list items marked and indented, table cells aligned."""
     flows, tables, lists = [_Flow()], [], []  # type: ignore[var-annotated]
@@ -214,8 +341,8 @@ def render(source: str) -> str:
 
     def lead() -> str:
         nonlocal mark
-        depth = max(0, len(lists) - 1)
-        out = "  " * depth + mark if mark else "  " * len(lists)
+        depth = min(len(lists), DEEPEST_INDENT)
+        out = "  " * max(0, depth - 1) + mark if mark else "  " * depth
         mark = ""
         return out
 
@@ -224,23 +351,22 @@ def render(source: str) -> str:
         flow = flows[-1]
         if name == "pre":
             pre -= 1
-        if name in ("td", "th") and len(flows) > 1 and tables:
+        if name in ("td", "th") and len(flows) > 1 and tables and tables[-1]:
             flow.end(1)
             flows.pop()
-            if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].rows[-1].append(flow.lines)
+            tables[-1].cell(flow.lines)
             return
+        if name in ("td", "th"):
+            flow.end(1)
         if name in ("ul", "ol", "menu", "dir") and lists:
             lists.pop()
         if name == "li":
             mark = ""
-        if name == "table" and tables:
-            table = tables.pop().lines()
+        if name == "table" and tables and (table := tables.pop()):
             flow = flows[-1]
             flow.end(2)
-            for line in table:
-                flow.text(line or " ", "  " * len(lists))
+            for line in table.lines():
+                flow.text(line or " ", "  " * min(len(lists), DEEPEST_INDENT))
                 flow.end(1)
         if name in BLOCKS:
             flow.end(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
@@ -267,7 +393,7 @@ def render(source: str) -> str:
             flow.space = collapsed[-1] == " "
         elif kind == "open":
             if name == "br":
-                flows[-1].end(1)
+                flows[-1].br()
             if name == "img" and seen and attributes.get("alt"):
                 flow = flows[-1]
                 if flow.now and flow.space:
@@ -294,10 +420,11 @@ def render(source: str) -> str:
             elif name == "pre":
                 pre += 1
             elif name == "table":
-                tables.append(_Table())
-            elif name == "tr" and tables:
-                tables[-1].rows.append([])
-            elif name in ("td", "th"):
+                tables.append(_Table() if len(tables) < DEEPEST_TABLE else None)  # deeper ones are blocks
+            elif name == "tr" and tables and tables[-1]:
+                tables[-1].row()
+            elif name in ("td", "th") and tables and tables[-1]:
+                tables[-1].span = (_number(attributes, "colspan", 1000), _number(attributes, "rowspan", 65534))
                 flows.append(_Flow())
         else:
             close(name)
@@ -309,14 +436,16 @@ def render_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
     """page_id and text (the page's visible text) of every row.
 
     Null HTML gives null text, empty HTML an empty one; repeated rows and null ids give a row
-    each; other columns are not read.
+    each; an empty table gives none. Pages of any length count whole, in time that follows
+    their length; wide cells are broken and deep lists and tables not indented further, so
+    what a page renders to follows its length too. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else render(x) for x in b.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+    return pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
 
 
 #: An item of a sequence: text, or a medium by what its source says.
@@ -324,10 +453,15 @@ ITEM = T.StructType([T.StructField("position", T.LongType()), T.StructField("kin
 
 
 def interleaved(source: str) -> list[dict]:
-    """Text and media references in order; a figure's caption goes with each of its media instead of the text."""
+    """Text and media references in order; a figure's caption goes with each of its own media instead of the text.
+
+    A figure within another one has its own media and caption. A caption outside a figure, or
+    of a figure without media, is text.
+    """
     out: list[dict] = []
     words: list[str] = []
-    figure, caption, in_caption = None, [], False
+    figures: list[tuple[list[int], list[str]]] = []  # media and caption of each open figure
+    captions: list[int] = []  # figures whose captions are open
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(words)).strip(" ")
@@ -335,31 +469,39 @@ def interleaved(source: str) -> list[dict]:
         if text:
             out.append({"position": len(out), "kind": "text", "text": text, "ref": None, "caption": None})
 
+    def say(part: str) -> None:
+        (figures[captions[-1]][1] if captions else words).append(part)
+
     for kind, name, attributes, seen in parsed(source, frozenset(("audio", "video"))):
         if kind == "text":
-            (caption if in_caption else words).append(name)
+            say(name)
         elif kind == "open":
             if name in ("img", "video", "audio", "source") and attributes.get("src"):
                 flush()
+                if figures:
+                    figures[-1][0].append(len(out))
                 out.append({"position": len(out), "kind": "image" if name == "img" else "media", "text": None, "ref": attributes["src"], "caption": attributes.get("alt")})
             elif not seen:
                 continue
             elif name == "figure":
-                figure, caption = len(out), []
+                figures.append(([], []))
             elif name == "figcaption":
-                in_caption = True
+                if figures:
+                    captions.append(len(figures) - 1)
             elif name in BLOCKS or name in ("br", "td", "th"):
-                words.append(" ")
+                say(" ")
         elif name == "figcaption":
-            in_caption = False
-        elif name == "figure" and figure is not None:
-            said = _SPACE.sub(" ", "".join(caption)).strip(" ")
-            flush()
-            for item in out[figure:]:
-                if item["ref"] is not None and said:
-                    item["caption"] = said
-            figure = None
+            if captions:
+                captions.pop()
+        elif name == "figure" and figures:
+            media, said = figures.pop()
+            captions = [c for c in captions if c < len(figures)]
+            said = _SPACE.sub(" ", "".join(said)).strip(" ")
+            if said and not media:
+                say(f" {said} ")
+            for i in media if said else []:
+                out[i]["caption"] = said
         elif name in BLOCKS or name in ("td", "th"):
-            words.append(" ")
+            say(" ")
     flush()
     return out

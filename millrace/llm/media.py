@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash_path
+from .common import fresh, quoted, stash_path
 from .html import ITEM, interleaved
 
 WIDTH = 576
@@ -118,46 +118,62 @@ def described(stored: DataFrame) -> DataFrame:
     return found.dropDuplicates(["digest"])
 
 
-def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """doc_id and items (position, kind, text, ref, caption in document order) of every row; null HTML has no items."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("items", T.ArrayType(ITEM))])
+def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, items (position, kind, text, ref, caption in document order) and the columns of keep of every row; null HTML has no items."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("items", T.ArrayType(ITEM)), *[pages.schema[c] for c in keep]])
     kind = pa.list_(pa.struct([("position", pa.int64()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 256):
                 items = [interleaved(x or "") for x in b.column(1).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(items, kind)], names=["doc_id", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(items, kind), *[c.slice(at, 256) for c in b.columns[2:]]], names=schema.names)
 
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, schema)
+    return pages.select(quoted(id_col).cast("long").alias("doc_id"), quoted(html_col).cast("string").alias("html"), *[quoted(c) for c in keep]).mapInArrow(run, schema)
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
     """items (with ref) joined to media's columns where ref is ``sha256:`` and its digest; unresolved ones keep nulls."""
-    facts = media.withColumn("__ref", F.concat(F.lit("sha256:"), "digest")).drop("digest")
-    return items.join(facts, items["ref"] == F.col("__ref"), "left").drop("__ref")
+    key = fresh(items, "_ref")
+    facts = media.withColumn(key, F.concat(F.lit("sha256:"), "digest")).drop("digest")
+    return items.join(facts, items["ref"] == F.col(key), "left").drop(key)
+
+
+def documents_of(items: DataFrame) -> DataFrame:
+    """doc_id and items again, a row per document, from resolved items (doc_id, position and more) in order of position.
+
+    A document's items are as many as its page says; equal ids are one document.
+    """
+    columns = [c for c in items.columns if c not in ("doc_id", "position")]
+    return items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", *columns))).alias("items"))
 
 
 def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's text as a stored medium, found again through an interleaved page that shows the text beside it.
 
-    Returns doc_id, n_bytes, position, caption and ``described``'s columns. A null text
-    counts as empty, whose payload is one row of 255; equal texts share a medium; repeated
-    rows and null ids give a row each; an empty table gives none. Other columns are not read.
+    The page's paragraphs are the text's lines, and the figure stands among them, after the
+    first one. Returns doc_id, n_bytes, position (of the medium), caption, n_items (text items
+    and the medium) and ``described``'s columns. A null text counts as empty, whose payload is
+    one row of 255; equal texts share a medium; repeated rows and null ids give a row each;
+    texts of any length count whole, one at a time; an empty table gives no rows. Other
+    columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     stored = store(rows.select("text"), stash_path(docs.sparkSession, "media"))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 256):
-                pages = []
-                for doc, text in zip(b.column(0).slice(at, 256).to_pylist(), b.column(1).slice(at, 256).to_pylist(), strict=True):
-                    raw = text.encode()
-                    digest = hashlib.sha256(padded(raw)).hexdigest()
-                    pages.append(f'<article><p>{html.escape(text)}</p><figure><img src="sha256:{digest}" alt="{len(raw)}"><figcaption>{len(raw)} bytes of document {doc}</figcaption></figure></article>')
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(pages, pa.string())], names=["doc_id", "html"])
-
-    items = sequences(rows.mapInArrow(write, "doc_id long, html string"), "doc_id").select("doc_id", F.explode("items").alias("i")).where("i.ref IS NOT NULL")
-    items = items.select("doc_id", "i.position", "i.ref", "i.caption", F.split("i.caption", " ")[0].cast("long").alias("n_bytes"))
-    return resolve(items, described(stored)).drop("ref")
+                some, pages = b.slice(at, 256), []
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    digest = hashlib.sha256(padded(text.encode())).hexdigest()
+                    first, _, rest = text.partition("\n")
+                    body = "".join(f"<p>{html.escape(x)}</p>" for x in rest.split("\n"))
+                    pages.append(f'<article><p>{html.escape(first)}</p><figure><img src="sha256:{digest}"><figcaption>document {doc}</figcaption></figure>{body}</article>')
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
+
+    pages = rows.select("doc_id", "text", "n_bytes").mapInArrow(compose, "doc_id long, n_bytes long, html string")
+    items = sequences(pages, "doc_id", keep=("n_bytes",)).withColumn("n_items", F.size("items").cast("long"))
+    items = items.select("doc_id", "n_bytes", "n_items", F.explode("items").alias("i")).where("i.ref IS NOT NULL")
+    return resolve(items.select("doc_id", "n_bytes", "n_items", "i.position", "i.ref", "i.caption"), described(stored)).drop("ref")

@@ -37,7 +37,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import text_media
 
-    return text_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return text_media(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import embeddings, grams, html, katz, langid, lines, media, mixing, packing, pii
 from millrace.llm.common import word_count
@@ -140,6 +144,62 @@ def test_interleaved_implies_the_same_tags():
     assert [i["text"] or i["ref"] for i in got] == ["one two", "v", "three a b"]
 
 
+def test_rendering_of_visibility_breaks_and_spans():
+    assert html.render("<p aria-hidden=true>seen<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>") == "seen\n\nyes"
+    assert html.render("a<br>b<br><br>c<br><br><br>d") == "a\nb\n\nc\n\n\nd"
+    assert html.render("<table><tr><th colspan=2>head<th>x<tr><td>aaaa<td>bbbb<td>c</table>") == "head        x\naaaa  bbbb  c"
+    assert html.render("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert html.render("<table><tr><td colspan=2>a long heading<td>z<tr><td>1<td>2<td>3</table>") == "a long heading  z\n1  2            3"
+
+
+def test_rendering_takes_time_and_room_in_proportion():
+    n = 30_000
+    long = "w" * 200_000
+    pages = ["<a" * n, "<div>" * n + "end", "<a \">\"" * n, "<p><button>" + "<div>" * n, "<ul><li>" * 3000 + "end", f"<table><tr><td>{long}<td>x" + "<tr><td>a<td>b" * 400 + "</table>", "<a " + "=" * n + "/>end", "<table><tr><td>" * 2000 + "end", "<table><tr>" + "<td>abcdefgh" * 900 + "<tr><td colspan=899><td>x" * 900 + "</table>", "<!--" * n, "<b><i>" * n + "</b>" * n]
+    for page in pages:
+        began = time.process_time()
+        got = html.render(page)
+        html.interleaved(page)
+        assert time.process_time() - began < 5 and len(got) < 12 * len(page) + 1000, page[:40]
+    assert sum(x.count("w") for x in html.render(pages[5]).split()) == len(long)
+
+
+class Plain(HTMLParser):
+    """Visible words of well-formed pages, without any layout."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "img":
+            self.words += (dict(attrs).get("alt") or "").split() if not self.hidden else []
+        if tag not in html.VOID and (self.hidden or tag in html.UNSEEN or "hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "")):
+            self.hidden.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            while self.hidden.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        self.words += data.split() if not self.hidden else []
+
+
+def test_pages_show_the_words_of_a_plain_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    got = {r["page_id"]: r["text"] for r in html.render_pages(pages).collect()}
+    for page, source in pages.collect():
+        plain = Plain()
+        plain.feed(source)
+        assert re.sub(r"(?m)^\s*(-|[0-9]+\.) ", "", got[page]).split() == plain.words
+
+
+def test_nested_figures():
+    got = html.interleaved("<figure><img src=a><figure><img src=b><figcaption>inner</figcaption></figure><img src=c><figcaption>outer</figcaption></figure><figure>only<figcaption>words</figcaption></figure>")
+    assert [(i["ref"] or i["text"], i["caption"]) for i in got] == [("a", "outer"), ("b", "inner"), ("c", "outer"), ("only words", None)]
+
+
 def test_render_pages(spark):
     pages = spark.createDataFrame([(1, "<p>a", "z"), (2, None, "z"), (None, "", "z"), (1, "<p>a", "z")], "page_id long, html string, text string")
     assert sorted(map(tuple, html.render_pages(pages).collect()), key=str) == sorted([(1, "a"), (2, None), (None, ""), (1, "a")], key=str)
@@ -159,15 +219,34 @@ def test_media(docs, none, rows):
         media.decode(media.encode(media.padded(b"a"))[:-20] + b"\0" * 20)
     got = media.text_media(docs).collect()
     assert len(got) == len(rows)
-    for r in got:
-        assert r["payload_bytes"] % 576 == 0 and r["payload_bytes"] >= max(576, r["n_bytes"])
+    def want(text: str | None) -> tuple:
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        png = media.encode(payload)
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), media.features(payload)
+
+    columns = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    assert Counter((r["doc_id"], *(r[c] for c in columns)) for r in got) == Counter((i, *want(t)) for i, t, *_ in rows)
+    by = {r["doc_id"]: r for r in got}
+    assert (by[1]["position"], by[1]["n_items"], by[1]["caption"]) == (1, 3, "document 1") and (by[3]["position"], by[3]["n_items"]) == (0, 1)
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in got if r["doc_id"] in (6, 8, 9)}) == 1
     assert media.text_media(none).count() == 0
 
 
-def test_katz_is_normalised_and_exact(spark, docs, none, rows):
-    from pyspark.sql import functions as F
+def test_interleaved_pages_with_stored_media(spark, tmp_path):
+    stored = media.store(spark.createDataFrame([(b"one",), (b"two",), (b"two",), (None,)], "p binary"), str(tmp_path / "media"))
+    ref = lambda x: "sha256:" + hashlib.sha256(media.padded(x)).hexdigest()
+    page = f"<h1>Title</h1><figure><img src='{ref(b'one')}'><figcaption>first</figcaption></figure><p>between<img src='{ref(b'two')}' alt=second><p>end<img src=gone.png>"
+    pages = spark.createDataFrame([(1, page), (2, "<p>words alone"), (3, None)], "page_id long, html string")
+    items = media.sequences(pages).select("doc_id", F.explode_outer("items").alias("i")).where("i IS NOT NULL").select("doc_id", "i.*")
+    docs = {r["doc_id"]: r["items"] for r in media.documents_of(media.resolve(items, media.described(stored).select("digest", "payload_bytes"))).collect()}
+    assert [(i["text"] or i["ref"][:7], i["caption"], i["payload_bytes"]) for i in docs[1]] == [("Title", None, None), ("sha256:", "first", 576), ("between", None, None), ("sha256:", "second", 576), ("end", None, None), ("gone.pn", None, None)]
+    assert [i["position"] for i in docs[1]] == list(range(6)) and set(docs) == {1, 2}
+    real = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    assert all(r["text"] or r["ref"] for r in media.sequences(real).select(F.explode("items").alias("i")).select("i.*").collect())
 
+
+def test_katz_is_normalised_and_exact(spark, docs, none, rows):
     got = katz.katz_scores(docs, F.col("doc_id") % 3 != 1).collect()
     token = lambda x: [*(x or "").encode().lower().split(), b"\n"]
     train = [token(x) for i, x, *_ in rows if i is not None and i % 3 != 1]
