@@ -8,6 +8,7 @@ them in, so a batch costs a few numpy passes instead of a Python object per word
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,11 @@ LONG_WORD = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new temporary one only where none is named."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a new temporary one for a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -17,20 +17,23 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted
+
 DIMENSIONS = 8192
 PER_LANGUAGE, SAMPLE_CHARS, CENTROIDS = 400, 20_000, 3
 #: Spans taken of a text of more than SAMPLE_CHARS characters, from start to end at equal distances.
 SPANS = 10
 #: With more languages than this, each has a smaller sample (one text at least), so that theirs together stays bounded.
 LANGUAGES = 200
-#: A text is rejected below this share of the lowest cosine of training texts of its length.
-REJECT_BELOW = 0.6
-#: Texts turned into vectors at a time.
-TOGETHER = 256
+#: A text is rejected below this share of a low quantile of the cosines of training texts of its length.
+REJECT_BELOW, FLOOR = 0.6, 0.002
+#: Texts turned into vectors at a time, and their characters; a longer text is taken in windows of so many.
+TOGETHER, LONG_TEXT = 128, 500_000
 
 
 @cache
@@ -38,9 +41,9 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points in lower case with 32 for what isn't a letter, a space around each text; the text of each."""
-    lower = [(t or "").lower() for t in texts]
+    lower = [t.lower() for t in texts]
     joined = " " + "".join(x + " " for x in lower)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     codes[~_letters()[codes]] = 32
@@ -48,9 +51,40 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.concatenate([[-1], owner])
 
 
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """The dimension of the n-gram that starts at each place."""
+    h = codes[: len(codes) - n + 1].copy()
+    for k in range(1, n):
+        h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - n + 1 + k]
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64)
+
+
+def _long_vector(text: str) -> tuple[np.ndarray, int]:
+    """n-gram counts and number of letters of one text, a window at a time; windows share their last two characters."""
+    counts, letters = np.zeros(DIMENSIONS), 0
+    held = np.array([32], np.uint64)
+    for at in range(0, len(text) + 1, LONG_TEXT):
+        codes, _ = _codes([text[at : at + LONG_TEXT]])
+        codes = (codes[1:] if at + LONG_TEXT > len(text) else codes[1:-1]).astype(np.uint64)  # the space after the text is its last one
+        letters += int((codes != 32).sum())
+        joined = np.concatenate([held, codes])
+        keep = np.ones(len(joined), bool)
+        keep[1:] = (joined[1:] != 32) | (joined[:-1] != 32)
+        keep[1] |= at == 0  # the space before a text is no part of it
+        joined = joined[keep]
+        for n in (2, 3):
+            if len(joined) >= n:
+                ends = np.arange(n - 1, len(joined))
+                counts += np.bincount(_grams(joined, n)[ends >= len(held)], minlength=DIMENSIONS)
+        held = joined[-2:]
+    return counts, letters
+
+
 def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts (a row per text) and the number of letters of each."""
-    codes, owner = _codes(texts)
+    texts = [t or "" for t in texts]
+    long = [i for i, t in enumerate(texts) if len(t) > LONG_TEXT]
+    codes, owner = _codes([t if len(t) <= LONG_TEXT else "" for t in texts])
     letters = np.bincount(owner[codes != 32], minlength=len(texts))
     spaces = codes == 32
     keep = ~(spaces & np.concatenate([[False], spaces[:-1] & (owner[1:] == owner[:-1])]))
@@ -59,14 +93,22 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for n in (2, 3):
         if len(codes) < n:
             continue
-        h = codes[: len(codes) - n + 1].copy()
-        for k in range(1, n):
-            h = h * np.uint64(0x100000001B3) + codes[k : len(codes) - n + 1 + k]
-        h = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64)
         # the space before a text belongs to the one before it; nothing else of that one counts
         own = owner[1 : len(owner) - n + 2] == owner[n - 1 :]
-        counts += np.bincount((owner[n - 1 :] * DIMENSIONS + h)[own], minlength=len(counts))
-    return counts.reshape(len(texts), DIMENSIONS), letters
+        counts += np.bincount((owner[n - 1 :] * DIMENSIONS + _grams(codes, n))[own], minlength=len(counts))
+    counts = counts.reshape(len(texts), DIMENSIONS)
+    for i in long:
+        counts[i], letters[i] = _long_vector(texts[i])
+    return counts, letters
+
+
+def _together(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of a bounded number and a bounded total length."""
+    at, cut = 0, np.concatenate([[0], np.cumsum(np.minimum(sizes, LONG_TEXT))])
+    while at < len(sizes):
+        end = min(at + TOGETHER, max(at + 1, int(np.searchsorted(cut, cut[at] + LONG_TEXT, "right")) - 1), len(sizes))
+        yield at, end
+        at = end
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -105,7 +147,7 @@ class Model:
         self.owner = np.repeat(np.arange(len(found)), [len(c) for c in found])
         self.idf = self.idf.astype(np.float32)
         # spans of 1, 2, 4, ... words of the sample show how cosines fall with length
-        floor: dict[int, float] = {}
+        seen: dict[int, list[float]] = {}
         spans = list(texts)
         for i, t in enumerate(texts):
             words = t.split()
@@ -115,8 +157,9 @@ class Model:
             cosine, _, letters = self.nearest(some)
             for c, n in zip(cosine, letters, strict=True):
                 if n:
-                    b = int(n).bit_length()
-                    floor[b] = min(floor.get(b, 1.0), float(c))
+                    seen.setdefault(int(n).bit_length(), []).append(float(c))
+        # not the lowest: a few garbled texts with a label would let all like them pass
+        floor = {b: float(np.quantile(v, FLOOR)) for b, v in seen.items()}
         low, self.floor = 1.0, np.zeros(64)
         for b in range(63, 0, -1):  # a shorter text is never held to more than a longer one
             low = min(low, floor.get(b, 1.0))
@@ -136,8 +179,10 @@ class Model:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and whether it is rejected, of each text."""
         names, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
-        for at in range(0, len(column), TOGETHER):
-            texts = column.slice(at, TOGETHER).to_pylist()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        for at, end in _together(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)):
+            texts = column.slice(at, end - at).to_pylist()
             cosine, best, letters = self.nearest(texts)
             none = (letters == 0) | (not len(self.centroids))
             names += ["und" if no else self.languages[self.owner[b]] for no, b in zip(none, best, strict=True)]
@@ -178,11 +223,13 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     lang_pred is one of the model's languages, ``und`` with score 0 if the text is null or
     has no letter; rejected is true for those and for texts too far from every centroid.
-    Repeated rows, null ids and further columns are of no consequence.
+    Texts of any length count whole, long ones in windows. Of languages equally near, the
+    first by name is given. Repeated rows and null ids give a row each, columns may have any
+    names, and an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of a fixed size
     extra = keep or {}
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("doc_id"), *[c.alias(n) for n, c in extra.items()])
+    rows = docs.select(quoted(text_col).cast("string").alias("text"), quoted(id_col).alias("doc_id"), *[c.alias(n) for n, c in extra.items()])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +241,11 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def accepted(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text the model doesn't reject, unchanged."""
+    """The rows of docs whose text the model doesn't reject, unchanged, whatever their columns' names; rows with a null text go."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.BooleanType())
     def keeps(text: pa.Array) -> pa.Array:
         return pa.array(~sent.value.predict(text)[2])
 
-    return docs.where(keeps(F.col(text_col).cast("string")))
+    return docs.where(keeps(quoted(text_col).cast("string")))

@@ -314,6 +314,17 @@ def test_language(spark, none):
     assert langid.identify(none, model).count() == 0 and {r["lang_pred"] for r in langid.identify(ask, langid.fit(none)).collect()} == {"und"}
 
 
+def test_long_texts_count_as_in_one_piece(monkeypatch):
+    r = random.Random(5)
+    for k in range(60):
+        t = "".join(r.choice("ab  é1Z\n") for _ in range(r.randint(15, 90)))
+        whole = langid.vectors([t, "x"])
+        monkeypatch.setattr(langid, "LONG_TEXT", r.randint(2, 14))
+        got = langid.vectors([t, "x"])
+        assert (whole[0] == got[0]).all() and (whole[1] == got[1]).all()
+        monkeypatch.undo()
+
+
 def test_language_sample_counts_distinct_texts(spark, monkeypatch):
     data = [(words(9, i), "en") for i in range(30)] + [("a text met again", "en")] * 3000 + [(words(9, 100 + i), "de") for i in range(300)] + [(words(9, 500 + i), "fr") for i in (1, 2, 3, 3)]
     data = spark.createDataFrame(data, "text string, lang string")
