@@ -70,7 +70,7 @@ def _long_vector(text: str) -> tuple[np.ndarray, int]:
         joined = np.concatenate([held, codes])
         keep = np.ones(len(joined), bool)
         keep[1:] = (joined[1:] != 32) | (joined[:-1] != 32)
-        keep[1] |= at == 0  # the space before a text is no part of it
+        keep[: len(held) + (at == 0)] = True  # the space before a text is no part of it
         joined = joined[keep]
         for n in (2, 3):
             if len(joined) >= n:
