@@ -246,30 +246,54 @@ def test_interleaved_pages_with_stored_media(spark, tmp_path):
     assert all(r["text"] or r["ref"] for r in media.sequences(real).select(F.explode("items").alias("i")).select("i.*").collect())
 
 
-def test_katz_is_normalised_and_exact(spark, docs, none, rows):
-    got = katz.katz_scores(docs, F.col("doc_id") % 3 != 1).collect()
-    token = lambda x: [*(x or "").encode().lower().split(), b"\n"]
-    train = [token(x) for i, x, *_ in rows if i is not None and i % 3 != 1]
+def katz_brute_force(train: list[list[bytes]]):
+    """The probability of a word after another, or after b" " at the start, straight from the definitions."""
     uni, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([b" ", *t], t, strict=False))
     of = lambda c: np.array([sum(v == r for v in c.values()) for r in range(1, 7)])
     du, dp, n = katz.good_turing(of(uni)), katz.good_turing(of(pairs)), sum(uni.values())
-    cut = lambda c, d: float(katz.discounted(np.array([c]), d)[0])
-    unknown = 1 - sum(cut(c, du) for c in uni.values()) / n
-    word = lambda w: cut(uni[w], du) / n if uni[w] else unknown
-    c1, left, mass = Counter(), Counter(), Counter()
+    cut = lambda c, d: c if c > 5 else c * d[c - 1] if c else 0.0
+    total = n + all(c > 5 for c in uni.values())
+    unknown = 1 - sum(cut(c, du) for c in uni.values()) / total
+    word = lambda w: cut(uni[w], du) / total if uni[w] else unknown
+    after: dict = {}
     for (a, b), c in pairs.items():
-        c1[a], left[a], mass[a] = c1[a] + c, left[a] + cut(c, dp), mass[a] + word(b)
+        after.setdefault(a, {})[b] = c
 
     def p(a, b):
-        return word(b) if not c1[a] else cut(pairs[a, b], dp) / c1[a] if pairs[a, b] else (1 - left[a] / c1[a]) / (1 - mass[a]) * word(b)
-
+        if a not in after:
+            return word(b)
+        own = after[a]
+        whole = sum(own.values()) + all(c > 5 for c in own.values())
+        if b in own:
+            return cut(own[b], dp) / whole
+        return (1 - sum(cut(c, dp) for c in own.values()) / whole) / (1 - sum(map(word, own))) * word(b)
+
+    return p, uni, n
+
+
+@pytest.mark.parametrize("times", [1, 6])
+def test_katz_is_normalised_and_exact(spark, docs, none, rows, times):
+    every = docs
+    for _ in range(times - 1):  # with six of each, no count is discounted
+        every = every.unionByName(docs)
+    got = katz.katz_scores(every, F.col("doc_id") % 3 != 1).collect()
+    token = lambda x: [*(x or "").encode().lower().split(), b"\n"]
+    train = [token(x) for i, x, *_ in rows if i is not None and i % 3 != 1] * times
+    p, uni, n = katz_brute_force(train)
     for a in (b" ", b"the", train[0][0], b"never met"):
         assert sum(p(a, b) for b in uni) + p(a, b"never met") == pytest.approx(1)
-    want = sorted((str(i), round(sum(math.log10(p(a, b)) for a, b in zip([b" ", *token(x)], token(x), strict=False)), 5)) for i, x, *_ in rows)
-    assert sorted((str(r["doc_id"]), round(r["score"], 5)) for r in got) == [(a, pytest.approx(b, abs=2e-5)) for a, b in want]
+    base = lambda t: sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (len(uni) + 1))) for w in t)
+    want = sorted((str(i), round(sum(math.log10(p(a, b)) for a, b in zip([b" ", *token(x)], token(x), strict=False)), 5), base(token(x)), len(token(x)), sum(uni[w] > 0 for w in token(x)), i is None or i % 3 == 1) for i, x, *_ in rows * times)
+    got_rows = sorted((str(r["doc_id"]), round(r["score"], 5), r["base_score"], r["n_tokens"], r["n_known"], r["held_out"]) for r in got)
+    assert got_rows == [(i, pytest.approx(s, abs=2e-5), pytest.approx(b, abs=1e-6), k, m, h) for i, s, b, k, m, h in want]
     assert all(r["train_tokens"] == n for r in got) and katz.katz_scores(none, F.lit(True)).count() == 0
 
 
+def test_katz_without_training_rows(docs, rows):
+    got = katz.katz_scores(docs, F.lit(False)).collect()
+    assert len(got) == len(rows) and all(r["score"] == 0 and r["train_tokens"] == r["n_known"] == 0 and r["held_out"] for r in got)
+
+
 def test_near_documents(docs, none, rows):
     got = {r["doc_id"]: r for r in grams.near_documents(docs).collect()}
     assert {got[i]["class_id"] for i in (6, 7, 8, 9)} == {6} and got[6]["n_links"] == 4
