@@ -96,6 +96,13 @@ def test_every_stage(spark, rows, tmp_path):
     tokens = {i: len(t.encode(left[i]["text"], add_special_tokens=False).ids) + 1 for i in times}
     assert {i: sum(p["length"] for p in packed if p["doc_id"] == i) for i in times} == {i: n * tokens[i] for i, n in times.items()}
     assert Counter(p["doc_id"] for p in packed if p["start"] == 0) == times and all(p["doc_tokens"] == tokens[p["doc_id"]] for p in packed)
+    ends = lambda i: np.array([*t.encode(left[i]["text"], add_special_tokens=False).ids, 2], "<u4").tobytes()
+    by_doc = defaultdict(list)
+    for p in packed:
+        by_doc[p["doc_id"]].append((p["start"], p["ids"]))
+    for i, pieces in by_doc.items():  # a document's copies are cut alike or not; together their pieces give its ids as often as it was taken
+        whole = ends(i)
+        assert all(whole[4 * a : 4 * a + len(x)] == x for a, x in pieces) and sum(len(x) for _, x in pieces) == times[i] * len(whole)
     lengths = np.array([*Counter({s: sum(p["length"] for p in packed if p["sequence_id"] == s) for s in {p["sequence_id"] for p in packed}}).values()])
     assert ((lengths == 4096) | (lengths & (lengths - 1) == 0)).all()
 
@@ -103,3 +110,21 @@ def test_every_stage(spark, rows, tmp_path):
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    r = random.Random(3)
+    text = lambda k: lines_of(random.Random(k).choices(EN, k=80), 10)
+    odd = [(None, text(1)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(3)), (5, text(4)), (6, None), (7, "")]
+    rows = [(i, x, "en", None, 1, r.random(), "k", 3) for i, x in [*odd, *[(20 + k, text(9 + k)) for k in range(30)]]]
+    spark.createDataFrame(rows, COLUMNS + ", _key double, `_gone` string, `a.b` int").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, kept = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+        kept.append(docs.collect())
+    assert len(kept[0]) == len(kept[1]) == 36  # the null and the empty text went
+    full = Counter((x["doc_id"], x["text"]) for x in kept[1] if x["text"])
+    assert full[None, text(1)] == full[5, text(3)] == 1 and (None, text(2)) in full and (5, text(4)) in full
+    assert len(kept[2]) == 36 and corpus_pipeline.run(spark, str(tmp_path)).count() >= len(kept[3])
