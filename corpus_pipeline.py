@@ -1,6 +1,9 @@
 """A corpus from raw documents to packed sequences: five stages, each written and read again by the next.
 
-Needs the training-data subpackage; without it, this module can't be imported.
+Every stage takes any rows: null ids, texts, languages and sources, repeated rows and ids,
+texts of any length, empty tables and further columns, whatever their names, which all but
+the last stage pass on. Needs the training-data subpackage; without it, this module can't be
+imported.
 """
 
 from __future__ import annotations
@@ -15,28 +18,28 @@ from millrace.llm.common import stash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language can't be told: null, without letters, or far from every centroid."""
+    """Drops the documents whose language can't be told: null, without letters, or far from every centroid. Repeated rows stay or go together."""
     return langid.accepted(langid.fit(docs), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the lines that repeat an earlier one, exactly or nearly. No document goes."""
+    """Cuts the lines that repeat an earlier one, exactly or nearly; of rows with the same id and text all but the first lose every line. No document goes: one that has lost all lines has an empty text."""
     return lines.without_repeated_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies: that of the smallest id, null last. Documents without words have no copies and stay."""
     return grams.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source's documents as often as its target needs; repeats are rows."""
+    """Takes each source's documents as often as its target needs; repeats are rows. A null source is one of its own; ties at a target are parted."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left: a row per piece of a document in a sequence."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+    """Packs what is left: a row per piece of a document in a sequence, with its ids as little-endian unsigned 32-bit numbers. An empty or null text is its end id alone."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
