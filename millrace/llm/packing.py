@@ -265,23 +265,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.known = WordTable()
         self.marks = {0: b"", **{ord(m): self._ids(m).tobytes() for m in ",."}}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Many words in one call with the special token between them, which the tokenizer splits off before all else."""
-        odd = [w for w in words if b"<|" in w]
-        out = {w: self._ids(w.decode()).tobytes() for w in odd}
-        plain = [w for w in words if b"<|" not in w] if odd else words
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = self._ids(self.SEPARATOR.join(map(bytes.decode, some)))
-            cut = np.flatnonzero(ids == self.between) * 4
-            raw = ids.tobytes()
-            out.update(zip(some, map(raw.__getitem__, map(slice, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)])), strict=True))
+        """Many words in one call.
+
+        A word of letters alone is one of the splitter's, and its last id, and no other, ends
+        a word; such words are parted by spaces. Others are parted by a special token, which
+        the tokenizer splits off before all else.
+        """
+        out, letters, others = {}, [], []
+        for w in words:
+            said = w.decode()
+            if b"<|" in w:
+                out[w] = self._ids(said).tobytes()
+            else:
+                (letters if said.isalpha() else others).append((w, said))
+        for some, between in ((letters, " "), (others, self.SEPARATOR)):
+            for at in range(0, len(some), 500):
+                raw, said = zip(*some[at : at + 500], strict=True)
+                ids = self._ids(between.join(said))
+                ends = np.flatnonzero(self.last[ids]) + 1 if between == " " else None
+                if ends is not None and len(ends) == len(raw):
+                    cut, skip = ends * 4, 0
+                else:  # a letter in lower case may be more than one
+                    ids = self._ids(self.SEPARATOR.join(said)) if between == " " else ids
+                    cut, skip = np.append(np.flatnonzero(ids == self.between), len(ids)) * 4, 4
+                wide, cut = ids.tobytes(), cut.tolist()
+                out.update(zip(raw, map(wide.__getitem__, map(slice, [0, *[c + skip for c in cut[:-1]]], cut)), strict=True))
         return out
 
     def _learn(self, words: list[bytes], h: np.ndarray) -> None:
