@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, looked_up, stash
+from .common import BROADCAST_ROWS, looked_up, stash, tidy
 
 #: Items of a cluster that meet in one task at most, twice; larger clusters are split into pairs of blocks.
 BLOCK = 512
@@ -151,4 +151,4 @@ def verified(members: DataFrame, payload: DataFrame, verify: Verify, name: str,
         return pa.table({"id": pa.array(joined[0], pa.int64()), "n_links": pa.array(joined[1], pa.int64()), "low": pa.array(joined[2], pa.int64()), "earlier": pa.array(joined[3], pa.bool_())})
 
     rows = rows.withColumn("spread", spread).select("spread", "cluster", "i", "j", "own", "id", "n", "at", *columns)
-    return rows.groupBy("spread").applyInArrow(run, "id long, n_links long, low long, earlier boolean")
+    return rows.groupBy("spread").applyInArrow(tidy(run), "id long, n_links long, low long, earlier boolean")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bucket_edges, components, verified
-from .common import looked_up, mix, quoted, stash
+from .common import looked_up, mix, quoted, stash, tidy
 
 THRESHOLD, RECALL, WIDTH = 0.95, 0.99, 2.0
 
@@ -78,7 +78,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     digest[0][i], digest[1][i] = struct.unpack("<qq", hashlib.blake2b(raw[i], digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(d, pa.int64()) for d in digest], pa.array(raw, pa.binary())], names=["vec_id", "copy", "copy2", "v"])
 
-    own = stash(rows.mapInArrow(read, "vec_id long, copy long, copy2 long, v binary"), "vectors")
+    own = stash(rows.mapInArrow(tidy(read), "vec_id long, copy long, copy2 long, v binary"), "vectors")
     # equal vectors are found by 128 bits; a class's number is written down with it and stays the same
     classes = own.where("copy IS NOT NULL").groupBy("copy", "copy2").agg(F.first("v").alias("v"), F.min("vec_id").alias("first"), F.count("*").alias("n"))
     classes = stash(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
@@ -106,7 +106,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                         h = mix(h ^ cell[:, :, c]) + np.uint64(c)
                     yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[some], tables))], names=["key", "id"])
 
-    members = classes.select("id", "v").mapInArrow(buckets, "key long, id long")
+    members = classes.select("id", "v").mapInArrow(tidy(buckets), "key long, id long")
     clusters = components(bucket_edges(stash(members, "buckets"), "vector"), "vectors").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
 
     def verify(columns: dict, split: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

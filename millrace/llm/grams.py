@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import bucket_edges, components, verified
-from .common import fresh, looked_up, mix, pieces, quoted, ranges, stash, word_hashes, word_spans
+from .common import fresh, looked_up, mix, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.995, 5
 #: The bitmap of candidate classes: 2**25 bits are 4 MB, in 64 slots.
@@ -85,7 +85,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
         return pa.table({"slot": pa.array([int(at[0] // per)], pa.int64()), "bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
 
     rows = ids.select(F.col(ids.columns[0]).bitwiseAND(2**BITS - 1).alias("bit")).distinct()
-    found = rows.withColumn("slot", F.floor(F.col("bit") / per)).groupBy("slot").applyInArrow(run, "slot long, bits binary").collect()
+    found = rows.withColumn("slot", F.floor(F.col("bit") / per)).groupBy("slot").applyInArrow(tidy(run), "slot long, bits binary").collect()
     out = np.zeros(2**BITS, bool)
     for r in found:
         out[r["slot"] * per : (r["slot"] + 1) * per] = np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8)).astype(bool)
@@ -137,7 +137,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
                 keys = [band_keys(s, bands, rows) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), b.column(2).slice(first, len(sets)), pa.array(copy, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "copy", "keys"])
 
-    signed = stash(texts.mapInArrow(sign, "doc_id long, key long, copy long, keys array<long>"), "signatures")
+    signed = stash(texts.mapInArrow(tidy(sign), "doc_id long, key long, copy long, keys array<long>"), "signatures")
     classes = stash(signed.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n"), F.first("keys").alias("keys")), "gram-classes")
     members = classes.select(F.col("copy").alias("id"), F.explode("keys").alias("key"))
     clusters = components(bucket_edges(members, "gram"), "gram-candidates").select(F.col("node").alias("id"), F.col("root").alias("cluster"))
@@ -153,7 +153,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
                 once = [i for i, ok in zip(once, marked(bits.value, ids[once]), strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([sets[i].tobytes() for i in once], pa.binary())], names=["id", "set"])
 
-    sets = texts.select("key", "text").mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    sets = texts.select("key", "text").mapInArrow(tidy(gather), "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
     sets = stash(sets.withColumn("bytes", F.octet_length("set")), "gram-sets")
     inside = clusters.join(classes.select(F.col("copy").alias("id"), "n"), "id").withColumn("at", F.array("id"))
     found = stash(verified(inside, sets, jaccard_verifier(threshold), "gram"), "gram-links")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import give_back, quoted, tidy
 
 DIMENSIONS = 8192
 PER_LANGUAGE, SAMPLE_CHARS, CENTROIDS = 400, 20_000, 3
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             names, scores, rejected = sent.value.predict(b.column(0))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def accepted(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -246,6 +246,8 @@ def accepted(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame
 
     @F.arrow_udf(T.BooleanType())
     def keeps(text: pa.Array) -> pa.Array:
-        return pa.array(~sent.value.predict(text)[2])
+        kept = pa.array(~sent.value.predict(text)[2])
+        give_back()
+        return kept
 
     return docs.where(keeps(quoted(text_col).cast("string")))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import _roots, components, verified
-from .common import fresh, mix, pieces, quoted, ranges, stash, word_hashes, word_spans
+from .common import fresh, mix, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
 from .grams import TOGETHER, bitmap, jaccard_verifier, marked
 
 THRESHOLD = 0.8
@@ -127,7 +127,7 @@ def word_codes(survey: DataFrame) -> tuple[np.ndarray, int]:
     parts = survey.where("counts IS NOT NULL").select("slot", "task", "counts")
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
-        parts = parts.withColumn("task", (F.col("task") / COUNT_TASKS).cast("int")).groupBy("slot", "task").applyInArrow(add, "slot int, task int, counts binary")
+        parts = parts.withColumn("task", (F.col("task") / COUNT_TASKS).cast("int")).groupBy("slot", "task").applyInArrow(tidy(add), "slot int, task int, counts binary")
         tasks = -(-tasks // COUNT_TASKS)
         if tasks == 1:
             break
@@ -254,7 +254,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("key"))
-    survey = stash(texts.mapInArrow(_survey, _SURVEY), "line-survey")
+    survey = stash(texts.mapInArrow(tidy(_survey), _SURVEY), "line-survey")
     table, words = word_codes(survey)
     codes, per_doc = spark.sparkContext.broadcast(table), survey.where("counts IS NULL").select("doc", "key", "ids")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // PART_WORDS)
@@ -274,7 +274,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         a, b = candidate_edges(np.concatenate([_unpacked(x) for x in table["entries"].to_pylist()]), threshold)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    edges = texts.mapInArrow(enter, "part int, entries binary").groupBy("part").applyInArrow(meet, "a long, b long")
+    edges = texts.mapInArrow(tidy(enter), "part int, entries binary").groupBy("part").applyInArrow(tidy(meet), "a long, b long")
     clusters = stash(components(edges, "line-candidates").select(F.col("node").alias("id"), F.col("root").alias("cluster")), "line-clusters")
     lines = per_doc.select("doc", "key", F.posexplode("ids").alias("line", "id")).where("id <> 0")
     classes = stash(lines.groupBy("id").agg(F.min(F.struct("doc", "key", "line")).alias("first"), F.count("*").alias("n")).select("id", "n", "first.*"), "line-classes")
@@ -299,7 +299,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 once = once[(np.diff(cut)[once] > 0) & marked(bits.value, ids[once])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[once]), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in once], pa.binary())], names=["id", "set"])
 
-    sets = texts.mapInArrow(gather, "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
+    sets = texts.mapInArrow(tidy(gather), "id long, set binary").groupBy("id").agg(F.first("set").alias("set"))
     sets = stash(sets.withColumn("bytes", F.octet_length("set")), "line-sets")
     order = classes.select("id", F.array(F.col("doc"), F.col("key"), F.col("line").cast("long")).alias("at"))
     found = verified(clusters.join(order, "id").withColumn("n", F.lit(1).cast("long")), sets, jaccard_verifier(threshold), "line")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, stash_path
+from .common import fresh, quoted, stash_path, tidy
 from .html import ITEM, interleaved
 
 WIDTH = 576
@@ -96,7 +96,7 @@ def store(payloads: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.binary())], names=["digest", "media"])
 
     column = payloads.columns[0]
-    made = payloads.select(F.col(f"`{column}`").cast("binary").alias("payload")).mapInArrow(run, "digest string, media binary")
+    made = payloads.select(F.col(f"`{column}`").cast("binary").alias("payload")).mapInArrow(tidy(run), "digest string, media binary")
     made.write.option("compression", "none").parquet(path)  # PNGs don't get smaller
     return payloads.sparkSession.read.schema(made.schema).parquet(path)
 
@@ -114,7 +114,7 @@ def described(stored: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    found = stored.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = stored.select("digest", "media").mapInArrow(tidy(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.dropDuplicates(["digest"])
 
 
@@ -129,7 +129,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 items = [interleaved(x or "") for x in b.column(1).slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(items, kind), *[c.slice(at, 256) for c in b.columns[2:]]], names=schema.names)
 
-    return pages.select(quoted(id_col).cast("long").alias("doc_id"), quoted(html_col).cast("string").alias("html"), *[quoted(c) for c in keep]).mapInArrow(run, schema)
+    return pages.select(quoted(id_col).cast("long").alias("doc_id"), quoted(html_col).cast("string").alias("html"), *[quoted(c) for c in keep]).mapInArrow(tidy(run), schema)
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                     pages.append(f'<article><p>{html.escape(first)}</p><figure><img src="sha256:{digest}"><figcaption>document {doc}</figcaption></figure>{body}</article>')
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(pages, pa.string())], names=["doc_id", "n_bytes", "html"])
 
-    pages = rows.select("doc_id", "text", "n_bytes").mapInArrow(compose, "doc_id long, n_bytes long, html string")
+    pages = rows.select("doc_id", "text", "n_bytes").mapInArrow(tidy(compose), "doc_id long, n_bytes long, html string")
     items = sequences(pages, "doc_id", keep=("n_bytes",)).withColumn("n_items", F.size("items").cast("long"))
     items = items.select("doc_id", "n_bytes", "n_items", F.explode("items").alias("i")).where("i.ref IS NOT NULL")
     return resolve(items.select("doc_id", "n_bytes", "n_items", "i.position", "i.ref", "i.caption"), described(stored)).drop("ref")

@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEEP, eights, pieces, ranges, word_hashes, word_spans
+from .common import KEEP, eights, pieces, ranges, tidy, word_hashes, word_spans
 
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
-#: Words and stems kept per Python worker with their ids, about 100 MB; when there are more, all are forgotten.
-CACHE_WORDS = 1_500_000
+#: Words and stems kept per Python worker with their ids, about 70 MB; when there are more, all are forgotten.
+CACHE_WORDS = 1_000_000
 CACHED_WORD_BYTES = 48
 #: Bytes of texts tokenized at a time, more only where one text has more.
 TOGETHER = 2_000_000
@@ -380,4 +380,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         yield packer.batch()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
