@@ -52,12 +52,17 @@ def give_back() -> None:
 
 
 def tidy(run: Callable) -> Callable:
-    """run, for mapInArrow, applyInArrow or an Arrow function, with memory given back when a task's or a group's work is done."""
+    """run, for mapInArrow, applyInArrow or an Arrow function, with memory given back after each batch or group and at the end."""
     if inspect.isgeneratorfunction(run):
 
+        def each(batches):
+            for b in batches:
+                yield b
+                give_back()
+
         def whole(batches):
             try:
-                yield from run(batches)
+                yield from run(each(batches))
             finally:
                 give_back()
 

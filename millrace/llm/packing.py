@@ -28,8 +28,8 @@ from .common import KEEP, eights, pieces, ranges, tidy, word_hashes, word_spans
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
-#: Words and stems kept per Python worker with their ids, about 70 MB; when there are more, all are forgotten.
-CACHE_WORDS = 1_000_000
+#: Words and stems kept per Python worker with their ids, about 50 MB; when there are more, all are forgotten.
+CACHE_WORDS = 700_000
 CACHED_WORD_BYTES = 48
 #: Bytes of texts tokenized at a time, more only where one text has more.
 TOGETHER = 2_000_000
@@ -165,7 +165,7 @@ class WordTable:
     A word is found by its hash, by open addressing, and counts as found only if its bytes are the same.
     """
 
-    SLOTS = 22
+    SLOTS = 21
 
     def __init__(self):
         self.slots = np.full(1 << self.SLOTS, -1, np.int32)
