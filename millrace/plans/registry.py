@@ -30,7 +30,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> dict[str, Registered]:
-    from . import analytics, frames, joins, relational, statistics  # noqa: F401  register their queries
+    from . import analytics, frames, joins, relational, statistics, streams  # noqa: F401  register their queries
 
     return _all
 

@@ -22,6 +22,7 @@ def bursts(df: DataFrame, key: str, *, ts: str = "ts", at_least: int = 3, quiet_
     out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("began", T.TimestampType()), T.StructField("ended", T.TimestampType()), T.StructField("n", T.LongType())])
     state = T.StructType([T.StructField("began", T.TimestampType()), T.StructField("ended", T.TimestampType()), T.StructField("n", T.LongType())])
     quiet = pd.Timedelta(seconds=quiet_seconds)
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")  # pandas gets times of day there
 
     def made(name: tuple, open_: tuple) -> pd.DataFrame:
         return pd.DataFrame({key: [name[0]], "began": [open_[0]], "ended": [open_[1]], "n": [open_[2]]})
@@ -42,7 +43,7 @@ def bursts(df: DataFrame, key: str, *, ts: str = "ts", at_least: int = 3, quiet_
                 yield made(name, open_)
             open_ = (t, t, 1)
         held.update(open_)
-        held.setTimeoutTimestamp(int((open_[1] + quiet).timestamp() * 1000))
+        held.setTimeoutTimestamp((open_[1].tz_localize(zone, ambiguous=False, nonexistent="shift_forward") + quiet).value // 1_000_000)
 
     rows = df.where(df[key].isNotNull() & df[ts].isNotNull())
     return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)

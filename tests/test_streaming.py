@@ -87,3 +87,21 @@ def test_paired_in_batch(spark):
     right = spark.createDataFrame([(7, "a", at(5)), (8, "a", at(15)), (9, "b", at(5))], "rid long, user string, rts timestamp")
     got = windows.paired(left, right, ["user"], left_ts="lts", right_ts="rts", within="10 minutes").collect()
     assert [(r["id"], r["rid"]) for r in got] == [(1, 7)]
+
+
+def test_updates_of_several_triggers(spark, tmp_path):
+    from millrace.streaming.run import finished, streamed
+
+    for rows in ([("a", 1), (None, 2)], [("a", 3), ("b", 4)], [(None, 5)]):
+        spark.createDataFrame(rows, "user string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    sums = streamed(spark, str(tmp_path), "t", files=1).groupBy("user").agg(F.sum("v").alias("v"))
+    assert {r["user"]: r["v"] for r in finished(sums, "sums", mode="update", keys=("user",)).collect()} == {"a": 4, "b": 4, None: 7}
+    assert {r["user"]: r["v"] for r in finished(sums, "sums", mode="complete").collect()} == {"a": 4, "b": 4, None: 7}
+
+
+def test_streams_of_empty_tables(spark, tmp_path):
+    from millrace.plans import registry
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_hours", "stream_users", "stream_pairs"):
+        assert registry.queries()[name](spark, str(tmp_path)).count() == 0
