@@ -11,16 +11,15 @@ import contextlib
 import ctypes
 import hashlib
 import inspect
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_dir
+from ..sources.shared import fresh, quoted, stash, stash_path  # noqa: F401  for the operators
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,17 +72,6 @@ def tidy(run: Callable) -> Callable:
     return two if len(inspect.signature(run).parameters) == 2 else one
 
 
-def stash_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it from there, which cuts its lineage."""
-    path = stash_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Rows of two or three numbers that are sent to every task at most, about 20 MB; what has more is joined by shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -98,19 +86,6 @@ def looked_up(df: DataFrame, table: DataFrame, on: str | Column | list[str], how
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name like that one which df doesn't have, in any case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
-def quoted(name: str) -> Column:
-    """A column by its name, whatever characters are in it."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,11 +108,11 @@ def pieces(column: pa.Array, together: int) -> Iterator[tuple[int, np.ndarray, n
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and for each text the index of its first word (one more at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that aren't space, and for each text the index of its first one (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~space[data]
     turns = np.flatnonzero(word[1:] != word[:-1]) + 1
     between = np.unique(offsets[(offsets > 0) & (offsets < len(data))])
     between = between[word[between - 1] & word[between]]  # a word ends where its text does
