@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.moments import sample_kurtosis, sample_skewness
 from ..functions.udfs import geometric_mean, trimmed_mean
+from ..operators.quantiles import group_quantiles, trimmed_means
 from ..sources.tables import table
 from .registry import register
 
@@ -48,11 +49,13 @@ SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 2) AS high, quan
 FROM orders GROUP BY o_orderpriority
 """)
 def order_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quantiles and mode (values are counted before they meet), tests of all and any rows, and a set."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(
-        F.round(F.percentile("o_totalprice", 0.9), 2).alias("high"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)").alias("middle"), F.mode(F.col("o_custkey") % 7, True).alias("usual"),
-        F.bool_and(F.col("o_totalprice") > 0).alias("all_paid"), F.bool_or(F.col("o_totalprice") > 450000).alias("any_large"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses"),
-    )
+    """Exact quantiles by narrowing histograms; mode (values are counted before they meet), tests of all and any rows, and a set."""
+    orders = table(spark, sf_dir, "orders")
+    exact = group_quantiles(orders, ["o_orderpriority"], "o_totalprice", {"high": 0.9, "middle": 0.5}, discrete=("middle",))
+    rest = orders.groupBy("o_orderpriority").agg(
+        F.mode(F.col("o_custkey") % 7, True).alias("usual"), F.bool_and(F.col("o_totalprice") > 0).alias("all_paid"), F.bool_or(F.col("o_totalprice") > 450000).alias("any_large"), F.array_sort(F.collect_set("o_orderstatus")).alias("statuses")
+    )
+    return exact.join(rest, "o_orderpriority").select("o_orderpriority", F.round("high", 2).alias("high"), "middle", "usual", "all_paid", "any_large", "statuses")
 
 
 @register("""
@@ -79,8 +82,18 @@ SELECT c_nationkey, round(avg(c_acctbal), 3) AS middle FROM (
 WHERE place > n // 10 AND place <= n - n // 10 GROUP BY c_nationkey
 """)
 def trimmed_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregate in Python over Arrow batches, for what needs a group's values in order; groups must fit a task."""
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(trimmed_mean("c_acctbal"), 3).alias("middle"))
+    """Means without each nation's lowest and highest tenth, whose ends are found by narrowing histograms: no nation's customers meet in a task."""
+    return trimmed_means(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_acctbal").select("c_nationkey", F.round("mean", 3).alias("middle"))
+
+
+@register("""
+SELECT user_id, round(avg(value), 8) AS middle FROM (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+WHERE place > n // 10 AND place <= n - n // 10 GROUP BY user_id
+""")
+def trimmed_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an aggregate in Python over Arrow batches, for groups that are known to be small."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(trimmed_mean("value"), 8).alias("middle"))
 
 
 @register()

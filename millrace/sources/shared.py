@@ -35,9 +35,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are sent to every task at most, about 20 MB; what has more is joined by shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, marked to be sent to every task if counting finds it small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like that one which df doesn't have, in any case of its letters."""
-    taken = {c.lower() for c in df.columns}
+    return unused(name, df)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like that one which none of the frames has, in any case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
     while name.lower() in taken:
         name += "_"
     return name

@@ -20,12 +20,18 @@ def rows(spark):
 @pytest.mark.parametrize("falling", [False, True])
 def test_scan_gives_what_windows_give(rows, falling):
     order = F.col("o").desc() if falling else F.col("o")
-    got = scan(rows, ["k.k"], [order], {"s": Running("sum", "part"), "n": Running("count", "part"), "low": Running("min", "part"), "high": Running("max", "part"), "before": Lag("part")})
+    got = scan(rows, ["k.k"], [order], {"s": Running("sum", "part"), "n": Running("count", "part"), "low": Running("min", "part"), "high": Running("max", "part"), "before": Lag("part"), "third": Lag("part", 3)})
     w = Window.partitionBy("`k.k`").orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    want = rows.select("*", F.sum("part").over(upto), F.count("part").over(upto), F.min("part").over(upto), F.max("part").over(upto), F.lag("part").over(w))
+    want = rows.select("*", F.sum("part").over(upto), F.count("part").over(upto), F.min("part").over(upto), F.max("part").over(upto), F.lag("part").over(w), F.lag("part", 3).over(w))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
-    assert got.columns == [*rows.columns, "s", "n", "low", "high", "before"]
+    assert got.columns == [*rows.columns, "s", "n", "low", "high", "before", "third"]
+
+
+def test_lags_reach_over_small_parts(spark):
+    df = spark.range(40).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    got = scan(df, ["k"], ["o"], {"before": Lag("v", 7)}, parts=20).orderBy("o").collect()
+    assert [r["before"] for r in got] == [None if i < 7 or (i - 7) % 5 == 0 else i - 7 for i in range(40)]
 
 
 def test_scan_of_all_rows_and_of_none(spark, rows):
