@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming.run import finished, streamed
+from ..sources.tables import table
+from ..streaming.processors import NO_EMPTY_TRIGGERS, STORE, funnels, not_lately
+from ..streaming.run import configured, finished, in_files, streamed
 from ..streaming.state import bursts
 from ..streaming.windows import event_time, first_seen, paired, sessions, windowed
 from .registry import register
@@ -85,3 +87,25 @@ WHERE n >= 3 AND (k < last OR date_trunc('millisecond', ended) + INTERVAL 6 HOUR
 def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom state: a user's bursts, given when a later event or the watermark ends them."""
     return _plain_times(finished(bursts(event_time(streamed(spark, sf_dir, "events")), "user_id", quiet_seconds=6 * 3600), "stream-bursts"), "began", "ended")
+
+
+@register(f"""
+WITH s AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w AS t1, lag(event_type, 2) OVER w AS t2, lag(ts) OVER w AS s1, lag(ts, 2) OVER w AS s2, lag(event_id) OVER w AS e1, lag(event_id, 2) OVER w AS e2
+  FROM events WHERE event_type IN ('view', 'click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT user_id, e2 AS view_id, e1 AS click_id, event_id AS purchase_id, ts AS ended FROM s WHERE event_type = 'purchase' AND t1 = 'click' AND t2 = 'view' AND ts <= s1 + INTERVAL 7 DAY AND s1 <= s2 + INTERVAL 7 DAY AND ts < {_WATERMARK})
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ended) AS times, (SELECT count(*) FROM events v WHERE v.user_id = p.user_id AND event_type = 'view' AND v.ts < ended) AS begun FROM p
+""")
+def stream_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Custom state of several kinds with timers: a user's view, click and purchase one after another, over four triggers."""
+    with configured(spark, STORE):
+        events = event_time(in_files(table(spark, sf_dir, "events"), "ts", 4, "funnel-events"))
+        found = finished(funnels(events, "user_id", steps=("view", "click", "purchase"), within_seconds=7 * 86_400), "stream-funnels")
+    ids = F.col("ids")
+    return _plain_times(found.select("user_id", ids[0].alias("view_id"), ids[1].alias("click_id"), ids[2].alias("purchase_id"), "ended", "times", "begun"), "ended")
+
+
+@register("SELECT DISTINCT user_id, event_type FROM events")
+def stream_kinds_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that expires: a user's kinds of events, each once in a while, over four triggers."""
+    with configured(spark, STORE | NO_EMPTY_TRIGGERS):
+        return finished(not_lately(in_files(table(spark, sf_dir, "events"), "ts", 4, "kinds-events"), "user_id", "event_type"), "stream-kinds")

@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import shared_dir
+from ..sources.shared import stash, stash_path, unused
+
+
+@contextlib.contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session with these settings, and with its own ones afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def in_files(df: DataFrame, order: str, files: int, name: str) -> DataFrame:
+    """df as a stream of so many triggers, one after another by ranges of order: streams take files by their times, so each range is written after the one before."""
+    path = stash_path(df.sparkSession, name)
+    part = unused("part", df)
+    parts = stash(df.repartitionByRange(files, order).withColumn(part, F.spark_partition_id()), name)
+    for i in range(files):
+        parts.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def streamed(spark: SparkSession, folder: str, name: str, *, files: int | None = None) -> DataFrame:
@@ -27,7 +51,7 @@ def finished(df: DataFrame, name: str, *, mode: str = "append", keys: tuple[str,
     null is a value) the row that came last. A trigger that runs again after a failure
     writes the same files again.
     """
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, stash_path(df.sparkSession, name)
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(f"{path}/rows")
