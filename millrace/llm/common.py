@@ -86,6 +86,20 @@ def looked_up(df: DataFrame, table: DataFrame, on: str | Column | list[str], how
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
+def named(df: DataFrame, name: str) -> str:
+    """The name under which df has that column: as Spark does, in any case of its letters unless the session tells cases apart."""
+    exact = str(df.sparkSession.conf.get("spark.sql.caseSensitive")).lower() == "true"
+    return next((c for c in df.columns if c == name or (not exact and c.lower() == name.lower())), name)
+
+
+def id_of(df: DataFrame, name: str) -> Column:
+    """The id column as long; TypeError if it doesn't hold whole numbers, as text that is none would fail in a task."""
+    kind = df.select(quoted(name)).schema[0].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"ids must be whole numbers; {name} is {kind.simpleString()}")
+    return quoted(name).cast("long")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import bucket_edges, components, verified
-from .common import looked_up, mix, quoted, stash, tidy
+from .common import id_of, looked_up, mix, quoted, stash, tidy
 
 THRESHOLD, RECALL, WIDTH = 0.95, 0.99, 2.0
 
@@ -64,7 +64,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     rows that share an id are vectors of their own: each has its own links. An empty table
     gives no rows. Other columns are not read.
     """
-    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), quoted(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(id_of(vectors, id_col).alias("vec_id"), quoted(vector_col).cast("array<double>").alias("v"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

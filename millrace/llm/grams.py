@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import bucket_edges, components, verified
-from .common import fresh, looked_up, mix, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
+from .common import fresh, id_of, looked_up, mix, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
 
 THRESHOLD, RECALL, WORDS = 0.8, 0.995, 5
 #: The bitmap of candidate classes: 2**25 bits are 4 MB, in 64 slots.
@@ -127,7 +127,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float, recal
     """A row per row of docs: doc_id, key (xxhash64 of the text), copy (of its shingle set), root (its class's, both null without shingles), copy_id, class_id, n_links."""
     spark = docs.sparkSession
     bands, rows = plan_bands(threshold, recall)
-    texts = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.xxhash64(quoted(text_col).cast("string")).alias("key"))
+    texts = docs.select(id_of(docs, id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"), F.xxhash64(quoted(text_col).cast("string")).alias("key"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +207,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     key, mark, at, first = (fresh(docs, c) for c in ("_key", "_mark", "_at", "_first"))
     keyed = docs.withColumn(key, F.xxhash64(quoted(text_col).cast("string"))).withColumn(mark, concerned(key))
-    own = quoted(id_col).cast("long")
+    own = id_of(docs, id_col)
     near = keyed.where(mark).alias("d").join(verdict.where("NOT stays").alias("v"), own.eqNullSafe(F.col("v.id")) & (F.col(f"d.{key}") == F.col("v.key")), "left_anti")
     again = verdict.where("stays")
     if not again.isEmpty():  # which row stays is written down, so that it does if a task runs again

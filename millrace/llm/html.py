@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted
+from .common import id_of, quoted, tidy
 
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
 #: What a tag holds up to its end, with quoted values whole; and up to the next ">" whatever the quotes.
@@ -32,9 +32,12 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Fixed values of HTML: elements without content, with raw text, without rendering, with blocks of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas object svg".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas object".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu dir".split())
+#: What is drawn within svg as text, each on a line of its own, and what of svg is never drawn by itself.
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_UNSEEN = frozenset("clippath defs desc marker mask metadata pattern symbol".split())
 #: All that a head can hold; any other tag, or text, ends it and belongs to the body.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements with content of another language, in which "/>" makes an element empty; in these elements of that language, HTML goes on.
@@ -187,6 +190,8 @@ def parsed(source: str, shown: frozenset[str] = frozenset()) -> Iterator[tuple[s
         if kind == "text":
             if open_.hidden or not open_.visible or stack and stack[-1][0] in _TABLE_PARTS and not name.strip():
                 continue
+            if open_.at["svg"] and open_.at["svg"][-1] > open_.last(SVG_TEXT):
+                continue  # characters beside the text elements of a drawing aren't drawn
             yield "text", name, {}, True
         elif kind == "open":
             ends, limit = CLOSES.get(name, (frozenset(), frozenset()))
@@ -196,7 +201,7 @@ def parsed(source: str, shown: frozenset[str] = frozenset()) -> Iterator[tuple[s
                 yield from pop_to(i)
             if name in ("td", "th") and not open_.at["table"]:
                 name = "span"  # a cell outside a table is plain text
-            laid_out = name in shown or _shown(name, attributes)
+            laid_out = name in shown or _shown(name, attributes) and not (name in SVG_UNSEEN and open_.at["svg"])
             said = _VISIBILITY.search(attributes.get("style", ""))
             visible = said[1].lower() == "visible" if said else open_.visible
             if not open_.hidden:
@@ -216,27 +221,48 @@ def parsed(source: str, shown: frozenset[str] = frozenset()) -> Iterator[tuple[s
 class _Flow:
     """Lines of one column of text: the page's, or a table cell's."""
 
-    lines: list[str] = field(default_factory=list)
+    lines: deque[str] = field(default_factory=deque)
     now: list[str] = field(default_factory=list)
     gap: int = 0  # line ends owed before the next text
     space: bool = False
+    size: int = 0  # characters of lines and their ends
+    wide: int = 0  # of the longest line
 
     def text(self, s: str, lead: str) -> None:
         if not s:
             return
         if not self.now:
             if self.lines:
-                self.lines += [""] * (self.gap - 1)
+                self.lines.extend([""] * (self.gap - 1))
+                self.size += max(0, self.gap - 1)
             self.gap = 0
             self.now.append(lead)
         self.now.append(s)
 
     def end(self, gap: int) -> None:
         if self.now:
-            self.lines.append("".join(self.now).rstrip())
+            line = "".join(self.now).rstrip()
+            self.lines.append(line)
+            self.size, self.wide = self.size + len(line) + 1, max(self.wide, len(line))
             self.now = []
         self.gap, self.space = max(self.gap, gap), False
 
+    def put(self, own: _Flow, indent: str) -> None:
+        """Another flow's lines, after an ended line. The fewer are moved to the more, so tables in tables cost no more than their lines."""
+        if not own.lines:
+            return
+        if indent:
+            own.lines = deque((indent + x).rstrip() for x in own.lines)
+        gap = [""] * (self.gap - 1) if self.lines else []
+        if len(self.lines) < len(own.lines):
+            own.lines.extendleft(reversed([*self.lines, *gap]))
+            self.lines = own.lines
+        else:
+            self.lines.extend(gap)
+            self.lines.extend(own.lines)
+        self.size, self.wide = self.size + len(gap) + own.size + len(indent) * len(own.lines), max(self.wide, own.wide + len(indent))
+        self.gap = 1
+
     def br(self) -> None:
         """Ends the line; after an ended one, an empty line."""
         if self.now:
@@ -252,9 +278,9 @@ def _number(attributes: dict[str, str], name: str, most: int) -> int:
 
 @dataclass
 class _Table:
-    """Cells by row: column, columns spanned, lines. Columns that cells of earlier rows still span are passed over."""
+    """Cells by row: column, columns spanned, flow. Columns that cells of earlier rows still span are passed over."""
 
-    rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)
+    rows: list[list[tuple[int, int, _Flow]]] = field(default_factory=list)
     busy: list[tuple[int, int, int]] = field(default_factory=list)  # column, columns and rows left, by column
     held: list[tuple[int, int, int]] = field(default_factory=list)  # the same of this row's cells, for the next row
     next: int = 0
@@ -268,25 +294,33 @@ class _Table:
         self.next = self.passed = 0
         self.held = []
 
-    def cell(self, lines: list[str]) -> None:
+    def cell(self, flow: _Flow) -> None:
         if not self.rows:
             self.row()
         wide, high = self.span
         while self.passed < len(self.busy) and self.busy[self.passed][0] < self.next + wide:
             self.next = max(self.next, sum(self.busy[self.passed][:2]))
             self.passed += 1
-        self.rows[-1].append((self.next, wide, lines))
+        self.rows[-1].append((self.next, wide, flow))
         self.next += wide
         if high > 1:
             self.held.append((self.rows[-1][-1][0], wide, high))
 
-    def lines(self) -> list[str]:
+    def laid_out(self, room: _Room) -> _Flow:
         """Cells of a column start at the same place, two spaces after the widest of the one before.
 
-        Cells wider than WIDEST_CELL are broken into lines. A table wider than WIDEST_TABLE
-        isn't aligned: its cells follow one another, two spaces apart.
+        Cells wider than WRAP are broken at their spaces. If there isn't room for the spaces
+        that this takes, or for laying out another table, cells follow one another instead,
+        two spaces apart or each on its own line.
         """
-        rows = [[(c, n, _broken(cell)) for c, n, cell in r] for r in self.rows]
+        cells = [cell for r in self.rows for _, _, cell in r]
+        alone = len(cells) == 1 and cells[0].wide <= WRAP
+        out = _Flow()
+        if alone or not room.lay_out(sum(cell.size for cell in cells)):
+            for cell in cells:
+                out.put(cell, "")
+            return out
+        rows = [[(c, n, [x for line in cell.lines for x in _broken(line)]) for c, n, cell in r] for r in self.rows]
         wide: dict[int, int] = {}
         for r in rows:
             for c, n, cell in r:
@@ -302,35 +336,79 @@ class _Table:
         for c in range(max(wide, default=-1) + 1):
             starts[c] = at
             at += wide.get(c, 0) + 2
-        aligned = at <= WIDEST_TABLE
-        out = []
-        for r in rows:
-            for k in range(max((len(cell) for _, _, cell in r), default=0)):
-                line: list[str] = []
-                long = 0
-                for c, _, cell in r:
-                    if k < len(cell) and cell[k]:
-                        gap = starts.get(c, 0) - long if aligned else 2 if long else 0
-                        line.append(" " * gap + cell[k])
-                        long += max(gap, 0) + len(cell[k])
-                out.append("".join(line).rstrip())
-        return out
-
-
-#: Characters of a cell's line and of an aligned table's, and levels of tables and of indents, at most: they bound what a page can grow to.
-WIDEST_CELL, WIDEST_TABLE, DEEPEST_TABLE, DEEPEST_INDENT = 200, 2000, 12, 30
+        for aligned in (True, False):
+            lines, spaces = [], 0
+            for r in rows:
+                for k in range(max((len(cell) for _, _, cell in r), default=0)):
+                    line: list[str] = []
+                    long = 0
+                    for c, _, cell in r:
+                        if k < len(cell) and cell[k]:
+                            gap = max(0, starts.get(c, 0) - long) if aligned else 2 if long else 0
+                            spaces += gap
+                            if spaces > room.spaces and aligned:
+                                break
+                            line.append(" " * gap + cell[k])
+                            long += gap + len(cell[k])
+                    lines.append("".join(line).rstrip())
+            if spaces <= room.spaces:
+                room.spaces -= spaces
+                break
+        return _Flow(deque(lines), size=sum(map(len, lines)) + len(lines), wide=max(map(len, lines), default=0))
+
+
+#: Characters of a cell's line, where its words allow it.
+WRAP = 200
+#: A page renders to no more than so many spaces for alignment and indents, and tables within tables are laid out over no more characters, for each of its own characters and beside as many of a small page.
+SPACES, LAID_OUT, SMALL = 20, 50, 1000
+
+
+class _Room:
+    """What is left of a page's spaces and of its tables' characters."""
+
+    def __init__(self, page: int):
+        self.spaces, self.characters = SPACES * (page + SMALL), LAID_OUT * (page + SMALL)
+
+    def lay_out(self, characters: int) -> bool:
+        self.characters -= characters
+        return self.characters >= 0
+
+    def indent(self, levels: int, lines: int = 1) -> str:
+        fits = 2 * levels * lines <= self.spaces
+        self.spaces -= 2 * levels * lines if fits else 0
+        return "  " * levels if fits else ""
+
+
+def _broken(line: str) -> list[str]:
+    out = []
+    while len(line) > WRAP:
+        at = line.rfind(" ", 1, WRAP + 1)
+        at = at if at > 0 else line.find(" ", WRAP)
+        if at < 0:
+            break
+        out.append(line[:at].rstrip())
+        line = line[at:].lstrip(" ")
+    return [*out, line]
+
+
+def _items(source: str) -> list[int]:
+    """How many items each reversed list has, in the order in which these lists begin."""
+    counts: list[int] = []
+    lists: list[int | None] = []
+    for kind, name, attributes, seen in parsed(source):
+        if kind == "open" and seen and name in ("ul", "ol", "menu", "dir"):
+            lists.append(len(counts) if name == "ol" and "reversed" in attributes else None)
+            if lists[-1] is not None:
+                counts.append(0)
+        elif kind == "open" and seen and name == "li" and lists and lists[-1] is not None:
+            counts[lists[-1]] += 1
+        elif kind == "close" and name in ("ul", "ol", "menu", "dir") and lists:
+            lists.pop()
+    return counts
 
 
-def _broken(lines: list[str]) -> list[str]:
-    out = []
-    for line in lines:
-        while len(line) > WIDEST_CELL:
-            at = line.rfind(" ", 1, WIDEST_CELL + 1)
-            at = at if at > 0 else WIDEST_CELL
-            out.append(line[:at].rstrip())
-            line = line[at:].lstrip(" ")
-        out.append(line)
-    return out
+def _integer(value: str | None, other: int) -> int:
+    return int(value) if value and re.fullmatch(r"\s*[-+]?[0-9]{1,9}\s*", value) else other
 
 
 def render(source: str) -> str:
@@ -338,11 +416,12 @@ def render(source: str) -> str:
     flows, tables, lists = [_Flow()], [], []  # type: ignore[var-annotated]
     pre = 0
     mark = ""
+    room = _Room(len(source))
+    backwards = iter(_items(source) if "reversed" in source.lower() else [])
 
     def lead() -> str:
         nonlocal mark
-        depth = min(len(lists), DEEPEST_INDENT)
-        out = "  " * max(0, depth - 1) + mark if mark else "  " * depth
+        out = room.indent(max(0, len(lists) - 1)) + mark if mark else room.indent(len(lists))
         mark = ""
         return out
 
@@ -351,10 +430,10 @@ def render(source: str) -> str:
         flow = flows[-1]
         if name == "pre":
             pre -= 1
-        if name in ("td", "th") and len(flows) > 1 and tables and tables[-1]:
+        if name in ("td", "th") and len(flows) > 1 and tables:
             flow.end(1)
             flows.pop()
-            tables[-1].cell(flow.lines)
+            tables[-1].cell(flow)
             return
         if name in ("td", "th"):
             flow.end(1)
@@ -362,13 +441,13 @@ def render(source: str) -> str:
             lists.pop()
         if name == "li":
             mark = ""
-        if name == "table" and tables and (table := tables.pop()):
+        if name == "table" and tables:
+            table = tables.pop()
             flow = flows[-1]
             flow.end(2)
-            for line in table.lines():
-                flow.text(line or " ", "  " * min(len(lists), DEEPEST_INDENT))
-                flow.end(1)
-        if name in BLOCKS:
+            own = table.laid_out(room)
+            flow.put(own, room.indent(len(lists), len(own.lines)))
+        if name in BLOCKS or name == "text":
             flow.end(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
 
     for kind, name, attributes, seen in parsed(source):
@@ -406,24 +485,26 @@ def render(source: str) -> str:
                 continue
             if not seen:
                 continue
-            if name in BLOCKS:
+            if name in BLOCKS or name == "text":
                 flows[-1].end(2 if name in SPACED and not (name in ("ul", "ol") and lists) else 1)
             if name in ("ul", "ol", "menu", "dir"):
-                start = attributes.get("start", "1")
-                lists.append([name, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
+                back = name == "ol" and "reversed" in attributes
+                first = next(backwards, 1) if back else 1  # taken even where the list says where it starts
+                lists.append([name, _integer(attributes.get("start"), first), -1 if back else 1])
             elif name == "li":
                 if lists and lists[-1][0] == "ol":
-                    mark = f"{lists[-1][1]}. "
-                    lists[-1][1] += 1
+                    number = _integer(attributes.get("value"), lists[-1][1])
+                    mark = f"{number}. "
+                    lists[-1][1] = number + lists[-1][2]
                 else:
                     mark = "- "
             elif name == "pre":
                 pre += 1
             elif name == "table":
-                tables.append(_Table() if len(tables) < DEEPEST_TABLE else None)  # deeper ones are blocks
-            elif name == "tr" and tables and tables[-1]:
+                tables.append(_Table())
+            elif name == "tr" and tables:
                 tables[-1].row()
-            elif name in ("td", "th") and tables and tables[-1]:
+            elif name in ("td", "th") and tables:
                 tables[-1].span = (_number(attributes, "colspan", 1000), _number(attributes, "rowspan", 65534))
                 flows.append(_Flow())
         else:
@@ -432,20 +513,33 @@ def render(source: str) -> str:
     return "\n".join(flows[0].lines)
 
 
+#: Characters of rendered pages that leave a task together, more only where one page has more.
+TOGETHER = 4_000_000
+
+
 def render_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and text (the page's visible text) of every row.
 
     Null HTML gives null text, empty HTML an empty one; repeated rows and null ids give a row
-    each; an empty table gives none. Pages of any length count whole, in time that follows
-    their length; wide cells are broken and deep lists and tables not indented further, so
-    what a page renders to follows its length too. Other columns are not read.
+    each; an empty table gives none. Ids must be whole numbers. Pages of any length count
+    whole, in time that follows their length. No text is cut: cells wider than WRAP are broken
+    at spaces, and where alignment and indents would take more than SPACES times a page's
+    length, or tables within tables more than LAID_OUT times, what follows isn't aligned or
+    indented any more. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else render(x) for x in b.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
-
-    return pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, text string")
+            out: list[str | None] = []
+            first = size = 0
+            for i, x in enumerate(b.column(1)):  # one page at a time
+                out.append(None if not x.is_valid else render(x.as_py()))
+                size += len(out[-1] or "")
+                if size >= TOGETHER or i == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), pa.array(out, pa.string())], names=["page_id", "text"])
+                    out, first, size = [], i + 1, 0
+
+    return pages.select(id_of(pages, id_col).alias("page_id"), quoted(html_col).cast("string").alias("html")).mapInArrow(tidy(run), "page_id long, text string")
 
 
 #: An item of a sequence: text, or a medium by what its source says.

@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     spans of that many characters together are. With over LANGUAGES languages, per_language is
     lowered to keep the sample's size. Copies of a text count once, also in how many a language has. Nothing to learn from gives a model that rejects all.
     """
-    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     most = 2**31
     rows = rows.withColumn("place", F.pmod(F.xxhash64("text"), F.lit(most)))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
@@ -219,7 +219,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, rejected (and keep's columns) of every row of docs.
+    """doc_id, lang_pred, score, rejected (and keep's columns, under other names) of every row of docs.
 
     lang_pred is one of the model's languages, ``und`` with score 0 if the text is null or
     has no letter; rejected is true for those and for texts too far from every centroid.
@@ -229,7 +229,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids of a fixed size
     extra = keep or {}
-    rows = docs.select(quoted(text_col).cast("string").alias("text"), quoted(id_col).alias("doc_id"), *[c.alias(n) for n, c in extra.items()])
+    if {n.lower() for n in extra} & {"doc_id", "lang_pred", "score", "rejected"} or len({n.lower() for n in extra}) < len(extra):
+        raise ValueError("keep's names must differ from each other and from doc_id, lang_pred, score and rejected")
+    rows = docs.select(quoted(text_col).cast("string").alias("_text"), quoted(id_col).alias("doc_id"), *[c.alias(n) for n, c in extra.items()])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,8 @@ A line is the set of its words, each by its 64-bit hash. Lines with equal sets a
 For the others, words are ordered from rare to frequent (a table of a fixed size holds counts
 by hash, so the order is the same everywhere). Two sets at the threshold must share a word
 among the first few of each; lines meet by those prefix words, and a pair goes on only if its
-lengths, the word's positions and a bitmap bound on the overlap allow the threshold. Clusters
+lengths, the word's positions and a bitmap bound on the overlap allow the threshold. Short
+lines made of frequent words meet by pairs of them, which are far rarer. Clusters
 of such pairs are then verified on the full sets, and a line goes if an earlier one is equal
 or similar.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .clusters import _roots, components, verified
-from .common import fresh, mix, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
+from .common import fresh, id_of, mix, named, pieces, quoted, ranges, stash, tidy, word_hashes, word_spans
 from .grams import TOGETHER, bitmap, jaccard_verifier, marked
 
 THRESHOLD = 0.8
@@ -37,6 +38,8 @@ COUNT_BITS, COUNT_SLOTS = 22, 64
 COUNT_TASKS = 64
 #: Words at least this frequent (as a power of two) are dealt out by line length too.
 HOT_CODE = 2 * 13
+#: Lines of up to about this many words meet under pairs of frequent words instead.
+PAIR_WORDS = 40
 #: Words of lines for each part in which entries meet, so that a part's size doesn't follow the input's.
 PART_WORDS = 8_000_000
 NEWLINE = 10
@@ -155,20 +158,40 @@ def _prefix_entries(cut: np.ndarray, h: np.ndarray, code: np.ndarray, ids: np.nd
                 bits[n > LONG_LINE, 2 + k] = np.bitwise_xor.reduceat(np.where(which == k, one[long], np.uint64(0)), cuts)
     size = n[some]
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+    band = np.floor(np.log(np.maximum(n, 1)) / math.log(1 / threshold) + 1e-9).astype(np.int64)
+    last = int(math.log(PAIR_WORDS) / math.log(1 / threshold))
+
+    def made(at: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), ENTRY)
+        out["word"], out["n"], out["id"], out["bits"], out["more"] = word & np.uint64(0xFFFFFFFF), n[row], ids[row], bits[row, :2], bits[row, 2:]
+        out["room"] = cut[row] + n[row] - at  # words from this one on
+        return out
+
     at = ranges(cut[some], prefix)
     row = np.repeat(some, prefix)
-    shared = code[at] > 2  # a word that occurs once brings no lines together
-    at, row = at[shared], row[shared]
-    out = np.empty(len(at), ENTRY)
-    out["word"], out["n"], out["id"], out["bits"], out["more"] = (h[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[row], ids[row], bits[row, :2], bits[row, 2:]
-    out["room"] = cut[row] + n[row] - at  # words from this one on
     hot = code[at] >= HOT_CODE
-    band = np.floor(np.log(np.maximum(n[row], 1)) / math.log(1 / threshold) + 1e-9).astype(np.uint64)
-    keys = out["word"].astype(np.uint64)
-    more = out[hot].copy()
-    part = mix(keys + np.where(hot, band + np.uint64(1), np.uint64(0)) * np.uint64(0x100000000))
-    part = np.concatenate([part, mix(keys[hot] + (band[hot] + np.uint64(2)) * np.uint64(0x100000000))])
-    return np.concatenate([out, more]), (part % np.uint64(parts)).astype(np.int64)
+    rare = ~hot & (code[at] > 2)  # a word that occurs once brings no lines together
+    out = [made(at[rare], row[rare], h[at[rare]])]
+    keys = [mix(h[at[rare]] & np.uint64(0xFFFFFFFF))]
+    # a frequent word of a long line is dealt out by the line's length too, under its own band and the next
+    hot &= band[row] > last
+    for above in (1, 2):
+        out.append(made(at[hot], row[hot], h[at[hot]]))
+        keys.append(mix((h[at[hot]] & np.uint64(0xFFFFFFFF)) + (band[row[hot]] + above).astype(np.uint64) * np.uint64(0x100000000)))
+    # sets whose first common word is frequent have two such words in common among one more of their first words each; lines
+    # alike differ by one band at most, so those of the band after the last are dealt out both ways
+    size, prefix = n[some], np.minimum(prefix + 1, n[some])
+    at, row = ranges(cut[some], prefix), np.repeat(some, prefix)
+    hot = (code[at] >= HOT_CODE) & (band[row] <= last + 1)
+    at, row = at[hot], row[hot]
+    ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(row))
+    here = np.arange(len(row))
+    later = ends[np.searchsorted(ends, here, "right")] - here - 1 if len(row) else here
+    one, two = np.repeat(here, later), ranges(here + 1, later)
+    pair = mix(mix(h[at[one]]) + h[at[two]])
+    out.append(made(at[one], row[one], pair))
+    keys.append(mix(pair & np.uint64(0xFFFFFFFF)))
+    return np.concatenate(out), (np.concatenate(keys) % np.uint64(parts)).astype(np.int64)
 
 
 def _packed(entries: np.ndarray) -> bytes:
@@ -253,7 +276,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     what each further one does: every line that has words.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(quoted(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("key"))
+    texts = docs.select(F.coalesce(id_of(docs, id_col), F.lit(-(2**63))).alias("doc"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(quoted(id_col), quoted(text_col)).alias("key"))
     survey = stash(texts.mapInArrow(tidy(_survey), _SURVEY), "line-survey")
     table, words = word_codes(survey)
     codes, per_doc = spark.sparkContext.broadcast(table), survey.where("counts IS NULL").select("doc", "key", "ids")
@@ -343,16 +366,17 @@ def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
-    """docs with the repeated lines cut out of their texts; no row goes, and other columns stay as they are.
+def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated lines cut out of their texts; other columns stay as they are, and so do rows, but with drop_emptied those whose every line with words goes.
 
     With counts, the columns n_lines and n_removed follow, in place of any of those names. A
     null text stays null and has no lines; a text all of whose lines go becomes empty. Lines
     are cut at newlines (0x0A) alone, however long they or the texts are. Of rows with the
     same id and text one is the first, and the others lose every line that has words; rows
-    without an id are told apart by their texts. An empty table gives no rows.
+    without an id are told apart by their texts. Ids must be whole numbers. An empty table
+    gives no rows.
     """
-    spark = docs.sparkSession
+    spark, text_col = docs.sparkSession, named(docs, text_col)
     gone = stash(repeated_lines(docs, id_col=id_col, text_col=text_col, threshold=threshold), "lines-gone")
     bits = spark.sparkContext.broadcast(bitmap(gone.select("key")))
     doc, key, lost, again, mark, place = (fresh(docs, c) for c in ("_doc", "_key", "_gone", "_again", "_touched", "_place"))
@@ -362,7 +386,7 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         return pa.array(marked(bits.value, key.to_numpy()))
 
     # most documents lose nothing, and a bitmap of a fixed size says so without moving them
-    keyed = docs.withColumns({doc: F.coalesce(quoted(id_col).cast("long"), F.lit(-(2**63))), key: F.xxhash64(quoted(id_col), quoted(text_col))}).withColumn(mark, touched(key))
+    keyed = docs.withColumns({doc: F.coalesce(id_of(docs, id_col), F.lit(-(2**63))), key: F.xxhash64(quoted(id_col), quoted(text_col))}).withColumn(mark, touched(key))
     whole = keyed.where(~F.col(mark)).withColumn(lost, F.lit(None).cast("array<int>"))
     found = keyed.where(mark).join(gone.toDF(doc, key, lost, again), [doc, key], "left")
     if gone.where("again IS NOT NULL").isEmpty():
@@ -373,8 +397,11 @@ def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         firsts = found.where(F.col(again).isNotNull()).groupBy(doc, key).agg(F.min(place).alias(first))
         found = found.join(stash(firsts, "lines-firsts"), [doc, key], "left")
         found = found.withColumn(lost, F.when(F.col(place) > F.col(first), F.col(again)).otherwise(F.col(lost))).drop(again, place, first)
-    kept = found.withColumn(place, _cut(quoted(text_col).cast("string"), F.col(lost))).unionByName(whole.withColumn(place, quoted(text_col)))
-    columns = [F.col(place).cast(docs.schema[c].dataType).alias(c) if c == text_col else quoted(c) for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    found = found.withColumn(place, _cut(quoted(text_col).cast("string"), F.col(lost)))
+    if drop_emptied:
+        found = found.where((F.coalesce(F.size(lost), F.lit(0)) < 1) | F.col(place).rlike(r"[^\x20\x09-\x0D]"))
+    kept = found.unionByName(whole.withColumn(place, quoted(text_col)))
+    columns = [F.col(place).cast(docs.schema[c].dataType).alias(c) if c == text_col else quoted(c) for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_removed"))]
     if counts:
         ends = F.octet_length(quoted(text_col)) - F.octet_length(F.replace(quoted(text_col), F.lit("\n"), F.lit("")))
         columns += [F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(quoted(text_col).isNotNull(), F.size(lost)), F.lit(0)).cast("long").alias("n_removed")]

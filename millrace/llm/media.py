@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, quoted, stash_path, tidy
+from .common import fresh, id_of, quoted, stash_path, tidy
 from .html import ITEM, interleaved
 
 WIDTH = 576
@@ -129,7 +129,7 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 items = [interleaved(x or "") for x in b.column(1).slice(at, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(items, kind), *[c.slice(at, 256) for c in b.columns[2:]]], names=schema.names)
 
-    return pages.select(quoted(id_col).cast("long").alias("doc_id"), quoted(html_col).cast("string").alias("html"), *[quoted(c) for c in keep]).mapInArrow(tidy(run), schema)
+    return pages.select(id_of(pages, id_col).alias("doc_id"), quoted(html_col).cast("string").alias("html"), *[quoted(c) for c in keep]).mapInArrow(tidy(run), schema)
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def text_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     texts of any length count whole, one at a time; an empty table gives no rows. Other
     columns are not read.
     """
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     stored = store(rows.select("text"), stash_path(docs.sparkSession, "media"))
 

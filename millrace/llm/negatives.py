@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, stash, tidy
+from .common import id_of, quoted, stash, tidy
 
 #: Rows of a block: at least, and at most. Between, about ROW_BLOCKS blocks hold all rows.
 LEAST, MOST, ROW_BLOCKS = 1024, 32_768, 64
@@ -89,7 +89,7 @@ def hard_negatives(vectors: DataFrame, anchor: Column, *, id_col: str = "vec_id"
     table gives no rows. Other columns are not read.
     """
     label = quoted(label) if isinstance(label, str) else label
-    rows = vectors.select(quoted(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), quoted(vector_col).cast("array<double>").alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+    rows = vectors.select(id_of(vectors, id_col).alias("vec_id"), label.cast("long").alias("label"), quoted(vector_col).cast("array<double>").alias("v"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL").where(sound)
 

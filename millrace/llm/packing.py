@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import KEEP, eights, pieces, ranges, tidy, word_hashes, word_spans
+from .common import KEEP, eights, id_of, pieces, quoted, ranges, tidy, word_hashes, word_spans
 
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
@@ -361,7 +360,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
 
     A null text counts as empty and gives the end id alone; a null id stays null; repeated
     rows are packed as often as they occur; an empty table gives no rows. Other columns of
-    docs are not read, so their names don't matter. tokenizer_path is read on the executors.
+    docs are not read, so their names don't matter. Ids must be whole numbers. tokenizer_path is read on the executors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,5 +378,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
         packer.finish()
         yield packer.batch()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

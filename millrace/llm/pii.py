@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stash, tidy
+from .common import id_of, quoted, stash, tidy
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the aggregated labelers decide; a local number is a phone without its plus.
@@ -252,7 +252,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 maybe.append([{"kind": k, "start": s, "end": e, "votes": v, "features": f} for (k, s, e), v, f in candidates(t or "", own)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(span)), pa.array(maybe, pa.list_(candidate))], names=["doc_id", "base_spans", "candidates"])
 
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), f"doc_id long, base_spans {_SPANS}, candidates {_CANDIDATES}")
 
 

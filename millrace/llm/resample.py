@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import Running, scan
-from .common import LONG_WORD, LOWER, flat, looked_up, quoted, stash, tidy, word_spans
+from .common import LONG_WORD, LOWER, flat, id_of, looked_up, quoted, stash, tidy, word_spans
 
 BUCKETS, SHARE, LEAST_WORDS, SEED = 10_000, (5, 100), 20, 42
 #: Bytes of texts whose words are handled at a time; a longer text is taken in windows.
@@ -191,7 +191,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, *, id_col: str = "doc_id", text_col
                     into[own] += total[first[1:]] - total[first[:-1]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (words, runs, weight))], names=["doc_id", "n_words", "n_features", "weight"])
 
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
+    rows = docs.select(id_of(docs, id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(add), "doc_id long, n_words long, n_features long, weight long")
 
 
