@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the lines that repeat an earlier one, exactly or nearly; of rows with the same id and text all but the first lose every line. No document goes: one that has lost all lines has an empty text."""
-    return lines.without_repeated_lines(docs)
+    """Cuts the lines that repeat an earlier one, exactly or nearly; of rows with the same id and text all but the first lose every line. A document goes if every line of it that has words does; null and blank texts stay."""
+    return lines.without_repeated_lines(docs, drop_emptied=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
