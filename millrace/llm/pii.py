@@ -4,9 +4,11 @@ Four base kinds are found by pattern and checked. For other private data, loose
 give candidate spans, and labelers of three sorts vote on each (+1, 0, -1): regex and shape,
 gazetteers of words before the span, and its context. Expectation-maximisation over the
 corpus-wide counts of vote patterns estimates every labeler's reliability for each kind; the
-posteriors then train a logistic classifier on features of the spans, none of them a vote,
-that decides which candidates become spans. Counts of (kind, votes, features) have a fixed
-number of keys, so what the driver receives is bounded whatever the corpus.
+posteriors then train a classifier on features of the spans and on the words around them,
+hashed, none of them a vote, that decides which candidates become spans. So of two spans of
+one shape the one may be taken and the other left. Counts of (kind, votes, features) and of
+(kind, votes, place, word's hash value) have a fixed number of keys, so what the driver
+receives is bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,6 +55,8 @@ Jacques James Jane Jean Jennifer Jessica Johann John Jonas Jorge Joseph José Ju
 Lucia Luis Lukas Manuel Margaret Maria Marie Mark Martin Mary Matthew Michael Miguel Monika Nancy Nicolas Oliver Pablo Patricia Paul Pedro Peter Philippe Pierre
 Rafael Rebecca Richard Robert Rosa Ruth Sabine Samuel Sandra Sarah Sebastian Sofia Sophie Stefan Stephen Susan Teresa Thomas Ursula Victor William Wolfgang""".split()
 _FIRST = frozenset(FIRST_NAMES)
+#: Words within a name that aren't capitalised.
+PARTICLES = frozenset("al bin da dal de degli dei del della den der di dos du el la las le los of ten ter van vom von y zu zum zur".split())
 
 _DIGITS = re.compile(r"[0-9]")
 _NUMBERED = re.compile(
@@ -61,7 +66,10 @@ _NUMBERED = re.compile(
     r"|(?P<secret>(?<![A-Za-z0-9_+/@.-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_@]))"
 )
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*+"
-_NAMED = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b[.:]?[ ]+(?P<who>{_WORD}(?:[ ]{_WORD}){{0,3}})|(?P<first>(?:{'|'.join(FIRST_NAMES)})(?:-{_WORD})?(?:[ ]{_WORD}){{1,3}}))")
+_NAMED = re.compile(rf"\b(?:(?P<title>{'|'.join(TITLES)})\b[.:]?[ ]+(?P<who>{_WORD})|(?P<first>(?:{'|'.join(FIRST_NAMES)})(?:-{_WORD})?)(?=[ ]))")
+_NEXT = re.compile(rf"[ ]({_WORD})")
+#: Words of two or more letters as parts of a path.
+_PATH = re.compile(r"(?:^|[/.])[a-z_-]{2,}/")
 LABELERS = 5
 Span = tuple[str, int, int]
 
@@ -124,15 +132,21 @@ def _found(text: str) -> Iterator[tuple[str, int, int, bool]]:
         for m in _NUMBERED.finditer(text):
             if m.lastgroup != "secret" or _DIGITS.search(m[0]):
                 made.append((m.start(), m.end(), m.lastgroup, False))
-    for m in _NAMED.finditer(text):
-        start = m.start("who") if m["title"] else m.start("first")
-        end = start
-        for word in text[start : m.end()].split(" "):
-            if not word[0].isupper():
+    at = 0
+    while m := _NAMED.search(text, at):
+        start, at = (m.start("who"), m.end("who")) if m["title"] else (m.start("first"), m.end("first"))
+        if not text[start].isupper():
+            continue
+        while word := _NEXT.match(text, at):
+            end = word.end()
+            while word and word[1] in PARTICLES:  # they belong to a name that goes on behind them
+                word = _NEXT.match(text, end)
+                end = word.end() if word else end
+            if not word or not word[1][0].isupper():
                 break
-            end += len(word) + (end > start)
-        if end > start and (m["title"] or " " in text[start:end]):
-            made.append((start, end, "name", bool(m["title"])))
+            at = end
+        if m["title"] or " " in text[start:at]:
+            made.append((start, at, "name", bool(m["title"])))
     last = 0
     for a, b, kind, titled in sorted(made):
         if a >= last:
@@ -140,16 +154,20 @@ def _found(text: str) -> Iterator[tuple[str, int, int, bool]]:
             last = b
 
 
+_AROUND = re.compile(r"[^\W_]+")
+
+
 def _side(c: str) -> int:
     """What sort of character stands beside a span: 0 none or white space, 1 a quote, = or :, 2 a letter or digit, 3 another."""
     return 0 if not c or c.isspace() else 1 if c in "=:\"'`" else 2 if c.isalnum() else 3
 
 
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[Span, tuple[int, ...], tuple[int, ...]]]:
-    """Candidate spans that meet no base span, their votes, and features of their own characters and neighbours.
+    """Candidate spans that meet no base span, their votes, and features of their own characters, neighbours and the words around.
 
     The labelers: the kind's form, gazetteers of words before it, what joins it to such a
-    word, what encloses it, and how regular its characters are. No feature is a vote.
+    word, what encloses it, and how regular its characters are. No feature is a vote: words
+    around are hashed, whatever list they are in.
     """
     ends = sorted((a, b) for _, a, b in taken)
     i = 0
@@ -163,52 +181,65 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[Span, tuple[int,
         word = (w := _BEFORE.search(near)) and w[1].lower() or ""
         digits, upper = sum(map(str.isdigit, s)), sum(map(str.isupper, s))
         after = text[b : b + 1]
-        shape = {"iban": lambda: _iban_ok(s), "ssn": lambda: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00", "local_phone": lambda: 9 <= digits <= 12, "secret": lambda: len(s) >= 20 and digits >= 3 and (len(s) - digits) >= 3, "name": lambda: " " in s}[kind]()
-        gazetteer = 1 if word in CUES[kind] or kind == "name" and s.split()[0].split("-")[0] in _FIRST else -1 if word in OTHER else 0
-        context = 1 if titled or near.rstrip()[-1:] in tuple("=:\"'`") else 0
+        shape = {"iban": lambda: _iban_ok(s), "ssn": lambda: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00", "local_phone": lambda: 9 <= digits <= 12, "secret": lambda: len(s) >= 20 and digits >= 3 and (len(s) - digits) >= 3 and not _PATH.search(s), "name": lambda: " " in s}[kind]()
+        gazetteer = 1 if titled or word in CUES[kind] or kind == "name" and s.split()[0].split("-")[0] in _FIRST else -1 if word in OTHER else 0
+        context = 1 if near.rstrip()[-1:] in tuple("=:\"'`") else 0
         closed = 1 if near[-1:] in ('"', "'", "`") and after == near[-1:] else -1 if after.isalnum() else 0
         odd = (1 if _entropy(s) >= 3.2 else -1) if kind == "secret" else (1 if digits and not _RUN.search(s) else 0)
-        votes = (1 if shape else -1, gazetteer, context, closed, odd)
-        features = (min(5, len(s) // 8), min(4, 5 * digits // max(1, len(s))), min(3, 4 * upper // max(1, len(s))), min(3, len(set(s)) // 6), _side(near[-1:]), _side(after))
+        around = [w.lower() for w in _AROUND.findall(near)[-2:][::-1]]
+        around = [*around, *[""] * (2 - len(around)), (w[0].lower() if (w := _AROUND.search(text[b : b + 24])) else "")]
+        votes = (1 if shape else 0 if kind == "name" else -1, gazetteer, context, closed, odd)
+        features = (min(5, len(s) // 8), min(4, 5 * digits // max(1, len(s))), min(3, 4 * upper // max(1, len(s))), min(3, len(set(s)) // 6), _side(near[-1:]), _side(after), *[zlib.crc32(w.encode()) % (AROUND - 1) + 1 if w else 0 for w in around])
         yield (kind, a, b), votes, features
 
 
-def _em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior that each vote pattern marks private data: two classes, labelers independent given the class.
+#: Shares of votes against, none and for that labelers start from, by whether a span is private. All candidates have their kind's form, so form tells little for a span and much against it; the word before it tells most.
+_FORM = ((0.3, 0.25, 0.45), (0.05, 0.3, 0.65))
+_WORD_BEFORE = ((0.25, 0.7, 0.05), (0.03, 0.25, 0.72))
+_SIGNS = ((0.1, 0.75, 0.15), (0.05, 0.6, 0.35))
+STARTS = (_FORM, _WORD_BEFORE, _SIGNS, _SIGNS, _FORM)
+#: The start, with this share of private spans, counts as so many spans and as many again as there are, so that neither few votes nor labelers that go together turn one round.
+START_PRIVATE, START_COUNT = 0.3, 20
 
-    Reliabilities start from the belief that a vote is right more often than wrong.
-    """
+
+def _em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior that each vote pattern marks private data: two classes, labelers independent given the class."""
     votes = patterns + 1
-    table = np.tile(np.array([[[0.5, 0.3, 0.2]], [[0.15, 0.3, 0.55]]]), (1, patterns.shape[1], 1))
-    prior = 0.3
+    start = np.array(STARTS).transpose(1, 0, 2)
+    table, prior, held = start.copy(), START_PRIVATE, START_COUNT + counts.sum()
     for _ in range(rounds):
         log = [np.log(p) + sum(np.log(table[y, j, votes[:, j]]) for j in range(votes.shape[1])) for y, p in ((0, 1 - prior), (1, prior))]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        prior = float(np.clip((post @ counts + 1) / (counts.sum() + 3), 0.01, 0.99))
+        prior = float((post @ counts + START_PRIVATE * held) / (counts.sum() + held))
         for y, w in ((0, counts * (1 - post)), (1, counts * post)):
             for j in range(votes.shape[1]):
-                # the starting belief counts as twenty spans, so few votes don't turn a labeler round
-                start = np.array([0.5, 0.3, 0.2] if y == 0 else [0.15, 0.3, 0.55])
-                seen = np.bincount(votes[:, j], w, 3) + 20 * start
+                seen = np.bincount(votes[:, j], w, 3) + held * start[y, j]
                 table[y, j] = seen / seen.sum()
     return post
 
 
 FEATURES = (6, 5, 4, 4, 4, 4)
+#: Hash values of a word near a span, with one for none; the last word before it, the one before that, and the first after it.
+AROUND, PLACES = 256, 3
 
 
 def _one_hot(features: tuple[int, ...]) -> list[float]:
     out = [1.0]
-    for v, n in zip(features, FEATURES, strict=True):
+    for v, n in zip(features[: len(FEATURES)], FEATURES, strict=True):
         out += [float(v == i) for i in range(n)]
     return out
 
 
 class SpanModel:
-    """For every kind, a logistic classifier trained on the labelers' posteriors."""
+    """For every kind, a classifier trained on the labelers' posteriors: logistic in a span's own features, with the log odds of the words around it.
+
+    table: kind, votes, own features and how many spans; words: kind, votes, place, hash value
+    of the word there and how many spans.
+    """
 
-    def __init__(self, table: list[tuple[str, tuple[int, ...], tuple[int, ...], int]]):
+    def __init__(self, table: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], words: list[tuple[str, tuple[int, ...], int, int, int]]):
         self.weights: dict[str, np.ndarray] = {}
+        self.words: dict[str, np.ndarray] = {}
         for kind in ADDED:
             rows = [r for r in table if r[0] == kind]
             if not rows:
@@ -229,9 +260,17 @@ class SpanModel:
                 if np.abs(step).max() < 1e-6:
                     break
             self.weights[kind] = w
+            near = np.zeros((2, PLACES, AROUND))
+            for _, v, place, word, m in (r for r in words if r[0] == kind):
+                near[:, place, word] += (m * (1 - post[v]), m * post[v])
+            share = float(np.clip(y @ n, 0.01, 0.99))  # of private spans; a word seen nowhere tells nothing
+            odds = np.log((near[1] + 2 * share) / (near[0] + 2 * (1 - share))) - math.log(share / (1 - share))
+            self.words[kind] = np.clip(odds, -4, 4)
 
     def accepts(self, kind: str, features: tuple[int, ...]) -> bool:
-        return kind in self.weights and float(np.dot(self.weights[kind], _one_hot(features))) > 0
+        if kind not in self.weights:
+            return False
+        return float(np.dot(self.weights[kind], _one_hot(features)) + self.words[kind][range(PLACES), features[len(FEATURES) :]].sum()) > 0
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -246,7 +285,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, maybe = [], []
-            for t in b.column(1).to_pylist():
+            for x in b.column(1):  # one text at a time
+                t = x.as_py()
                 own = base_spans(t) if t and ("@" in t or _DIGITS.search(t)) else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
                 maybe.append([{"kind": k, "start": s, "end": e, "votes": v, "features": f} for (k, s, e), v, f in candidates(t or "", own)])
@@ -257,10 +297,14 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def fit(scanned: DataFrame) -> SpanModel:
-    """Count votes and features over all candidates of ``scan``'s rows and train on the counts."""
-    each = scanned.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.features")
-    table = each.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")).collect()
-    return SpanModel(sorted((r["kind"], tuple(r["votes"]), tuple(r["features"]), r["n"]) for r in table))
+    """Count votes with features, and votes with words near by, over all candidates of ``scan``'s rows and train on the counts.
+
+    Both tables have a bounded number of rows: votes, features and hash values are few.
+    """
+    each = scanned.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", F.slice("c.features", 1, len(FEATURES)).alias("own"), F.slice("c.features", len(FEATURES) + 1, PLACES).alias("near"))
+    table = each.groupBy("kind", "votes", "own").agg(F.count("*").alias("n")).collect()
+    words = each.select("kind", "votes", F.posexplode("near").alias("place", "word")).groupBy("kind", "votes", "place", "word").agg(F.count("*").alias("n")).collect()
+    return SpanModel(sorted((r["kind"], tuple(r["votes"]), tuple(r["own"]), r["n"]) for r in table), sorted((r["kind"], tuple(r["votes"]), r["place"], r["word"], r["n"]) for r in words))
 
 
 def find_private(docs: DataFrame, model: SpanModel | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
