@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import quoted
+
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, bucket: str = "1 day") -> DataFrame:
     """left's rows, all of them, with right's other columns; nulls where no right row came before.
@@ -17,14 +19,14 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: st
     """
     keys = [f"_k{i}" for i in range(len(on))]
     carried = [c for c in right.columns if c not in on]
-    cut = lambda c: F.window(F.col(c), bucket)["start"]
-    whole = F.struct(*[F.col(f"`{c}`") for c in left.columns])
-    match = F.struct(*[F.col(f"`{c}`") for c in carried])
+    cut = lambda c: F.window(quoted(c), bucket)["start"]
+    whole = F.struct(*[quoted(c) for c in left.columns])
+    match = F.struct(*[quoted(c) for c in carried])
     held = F.lit(True)
     for c in [*on, left_time]:
-        held = held & F.col(c).isNotNull()
-    l_rows = left.where(held).select(*[F.col(k).alias(n) for k, n in zip(on, keys, strict=True)], F.col(left_time).alias("_time"), cut(left_time).alias("_cut"), F.lit(1).alias("_side"), whole.alias("_left"))
-    r_rows = right.select(*[F.col(k).alias(n) for k, n in zip(on, keys, strict=True)], F.col(right_time).alias("_time"), cut(right_time).alias("_cut"), F.lit(0).alias("_side"), match.alias("_right"))
+        held = held & quoted(c).isNotNull()
+    l_rows = left.where(held).select(*[quoted(k).alias(n) for k, n in zip(on, keys, strict=True)], quoted(left_time).alias("_time"), cut(left_time).alias("_cut"), F.lit(1).alias("_side"), whole.alias("_left"))
+    r_rows = right.select(*[quoted(k).alias(n) for k, n in zip(on, keys, strict=True)], quoted(right_time).alias("_time"), cut(right_time).alias("_cut"), F.lit(0).alias("_side"), match.alias("_right"))
     for k in [*keys, "_time"]:
         r_rows = r_rows.where(F.col(k).isNotNull())
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import quoted, unused
+
 
 def band_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, width: float, *, on: Column | None = None) -> DataFrame:
     """Pairs whose numbers differ by at most width, and for which ``on`` holds.
@@ -13,9 +15,10 @@ def band_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str,
     right rows their own, so every pair meets exactly once and the join is an equi-join. Null
     and non-finite numbers match nothing. The two sides' columns must have different names.
     """
-    cell = lambda c: F.floor(F.col(c) / width)
-    finite = lambda df, c: df.where(F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")))  # noqa: E731  NaN is above infinity
-    near = finite(left, left_col).withColumn("_cell", F.explode(F.sequence(cell(left_col) - 1, cell(left_col) + 1)))
-    other = finite(right, right_col).withColumn("_other_cell", cell(right_col))
-    meet = (F.col("_cell") == F.col("_other_cell")) & (F.abs(F.col(right_col) - F.col(left_col)) <= width)
-    return near.join(other, meet if on is None else meet & on).drop("_cell", "_other_cell")
+    own, others = unused("cell", left, right), unused("other_cell", left, right)
+    cell = lambda c: F.floor(quoted(c) / width)
+    finite = lambda df, c: df.where(quoted(c).isNotNull() & (F.abs(quoted(c).cast("double")) < float("inf")))  # noqa: E731  NaN is above infinity
+    near = finite(left, left_col).withColumn(own, F.explode(F.sequence(cell(left_col) - 1, cell(left_col) + 1)))
+    other = finite(right, right_col).withColumn(others, cell(right_col))
+    meet = (F.col(own) == F.col(others)) & (F.abs(quoted(right_col) - quoted(left_col)) <= width)
+    return near.join(other, meet if on is None else meet & on).drop(own, others)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import unused
+
 
 def event_time(df: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
     """df with ts as TIMESTAMP and a watermark that waits for rows as late as that."""
@@ -35,8 +37,9 @@ def first_seen(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], *, left_ts: str, right_ts: str, within: str) -> DataFrame:
     """Interval join: right rows of the same keys at most that long after the left one. Watermarks on both sides bound the state."""
-    r = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    other = {k: unused(f"other_{k}", left, right) for k in keys}
+    r = right.withColumnsRenamed(other)
     same = F.col(right_ts).between(F.col(left_ts), F.col(left_ts) + F.expr(f"INTERVAL {within}"))
     for k in keys:
-        same = same & (F.col(k) == F.col(f"__{k}"))
-    return left.join(r, same).drop(*[f"__{k}" for k in keys])
+        same = same & (F.col(k) == F.col(other[k]))
+    return left.join(r, same).drop(*other.values())

@@ -100,6 +100,20 @@ def test_band_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, p in a[:80] for j, q in b[:80] if abs(p - q) <= 0.7)
 
 
+def test_joins_keep_columns_of_any_name(spark):
+    from datetime import datetime
+
+    from millrace.operators.asof import asof_join
+    from millrace.operators.bands import band_join
+
+    a, b = spark.createDataFrame([(1.0, 5)], "`p.p` double, cell int"), spark.createDataFrame([(1.5, 6)], "`q.q` double, other_cell int")
+    got = band_join(a, b, "p.p", "q.q", 1.0)
+    assert got.columns == ["p.p", "cell", "q.q", "other_cell"] and [tuple(r) for r in got.collect()] == [(1.0, 5, 1.5, 6)]
+    t = datetime(2024, 1, 1)
+    got = asof_join(spark.createDataFrame([("k", t)], "`a.k` string, `t.l` timestamp"), spark.createDataFrame([("k", t, 3)], "`a.k` string, `t.r` timestamp, v int"), on=["a.k"], left_time="t.l", right_time="t.r")
+    assert [tuple(r) for r in got.collect()] == [("k", t, t, 3)]
+
+
 def test_join_strategies(spark):
     for name, node in (("quantities_by_priority", "SortMergeJoin"), ("lines_of_small_parts", "ShuffledHashJoin"), ("customers_by_balance_band", "BroadcastNestedLoopJoin"), ("parts_of_like_price", "HashJoin")):
         assert node in registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
