@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import overlap_join
+from ..operators.nearest import nearest_join
 from ..operators.scan import Lag, Running, scan
 from ..sources.tables import table
 from .registry import register
@@ -60,3 +61,16 @@ def site_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     opens = F.when(F.col("ts") <= F.col("before") + F.expr("INTERVAL 10 MINUTES"), 0).otherwise(1)
     numbered = scan(events, [], ["ts", "event_id"], {"session": Running("sum", opens)})
     return numbered.groupBy("session").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@register("""
+SELECT p.event_id AS purchase_id, v.event_id AS view_id, date_diff('microsecond', p.ts, v.ts) AS apart FROM events p JOIN events v
+ON p.event_type = 'purchase' AND v.event_type = 'view' AND p.user_id = v.user_id AND abs(date_diff('microsecond', p.ts, v.ts)) <= 86400000000
+QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(date_diff('microsecond', p.ts, v.ts)), v.ts, v.event_id) = 1
+""")
+def views_nearest_to_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cogrouped map over users salted by days: to each purchase its user's nearest view, before or after it, within a day."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    bought = events.where("event_type = 'purchase'").withColumnRenamed("event_id", "purchase_id")
+    views = events.where("event_type = 'view'").withColumnRenamed("event_id", "view_id")
+    return nearest_join(bought, views, on="user_id", left_time="ts", right_time="ts", left_id="purchase_id", right_id="view_id", within_seconds=86_400)

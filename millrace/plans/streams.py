@@ -109,3 +109,17 @@ def stream_kinds_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State that expires: a user's kinds of events, each once in a while, over four triggers."""
     with configured(spark, STORE | NO_EMPTY_TRIGGERS):
         return finished(not_lately(in_files(table(spark, sf_dir, "events"), "ts", 4, "kinds-events"), "user_id", "event_type"), "stream-kinds")
+
+
+@register(f"""
+WITH lone AS (SELECT v.ts FROM events v WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 1 HOUR))
+SELECT began, began + INTERVAL 1 DAY AS ended, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS began FROM lone) GROUP BY began
+HAVING began + INTERVAL 1 DAY + INTERVAL 1 HOUR < least((SELECT max(ts) FROM events WHERE event_type = 'view'), (SELECT max(ts) FROM events WHERE event_type = 'purchase')) - INTERVAL 20 MINUTE
+""")
+def stream_lone_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer interval join of two streams, and windows counted over what it gives: days' views that no purchase followed within the hour, over four triggers."""
+    views = event_time(in_files(table(spark, sf_dir, "events").where("event_type = 'view'").select("user_id", F.col("ts").alias("viewed")), "viewed", 4, "lone-views"), "viewed")
+    purchases = event_time(in_files(table(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought")), "bought", 4, "lone-purchases"), "bought")
+    lone = paired(views, purchases, ["user_id"], left_ts="viewed", right_ts="bought", within="1 hour", how="left").where("bought IS NULL")
+    days = windowed(lone, [], [F.count("*").alias("n")], ts="viewed", size="1 day")
+    return _plain_times(finished(days, "stream-lone"), "began", "ended")

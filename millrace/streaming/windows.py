@@ -35,11 +35,15 @@ def first_seen(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def paired(left: DataFrame, right: DataFrame, keys: list[str], *, left_ts: str, right_ts: str, within: str) -> DataFrame:
-    """Interval join: right rows of the same keys at most that long after the left one. Watermarks on both sides bound the state."""
+def paired(left: DataFrame, right: DataFrame, keys: list[str], *, left_ts: str, right_ts: str, within: str, how: str = "inner") -> DataFrame:
+    """Interval join: right rows of the same keys at most that long after the left one. Watermarks on both sides bound the state.
+
+    how: inner; or left, which gives a left row without a match as well, with nulls, once the
+    watermarks have passed all that could match it.
+    """
     other = {k: unused(f"other_{k}", left, right) for k in keys}
     r = right.withColumnsRenamed(other)
     same = F.col(right_ts).between(F.col(left_ts), F.col(left_ts) + F.expr(f"INTERVAL {within}"))
     for k in keys:
         same = same & (F.col(k) == F.col(other[k]))
-    return left.join(r, same).drop(*other.values())
+    return left.join(r, same, how).drop(*other.values())

@@ -91,3 +91,20 @@ def test_quantiles_and_trimmed_means(spark, values):
         assert means[g] == pytest.approx(math.fsum(x) / len(x))
     assert group_quantiles(df.where("false"), ["g.g"], "v", {"m": 0.5}).count() == 0
     assert group_quantiles(df, [], "v", {"m": 0.5}).count() == 1
+
+
+def test_nearest_join(spark):
+    from millrace.operators.nearest import nearest_join
+
+    r = random.Random(6)
+    t = lambda: datetime(2024, 1, 1) + timedelta(seconds=r.randrange(40_000))
+    a = [(i, r.choice("aab"), t()) for i in range(200)] + [(None, "a", t()), (900, None, t()), (901, "a", None)]
+    b = [(i, r.choice("aab"), t()) for i in range(150)] + [(i + 300, k, at) for i, k, at in [(1, "a", a[0][2]), (2, "a", a[0][2])]] + [(None, "a", t()), (900, None, t())]
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = nearest_join(spark.createDataFrame(a, f"x long, k string, ts {kind}"), spark.createDataFrame(b, f"y long, k string, ts {kind}"), on="k", left_time="ts", right_time="ts", left_id="x", right_id="y", within_seconds=60)
+        want = {}
+        for i, k, at in a:
+            near = [(abs(u - at), u, j) for j, m, u in b if None not in (i, j, k, m, at, u) and k == m and abs(u - at) <= timedelta(seconds=60)]
+            if near:
+                want[i] = min(near)[2]
+        assert {x["x"]: x["y"] for x in got.collect()} == want != {}
