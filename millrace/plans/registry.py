@@ -30,7 +30,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _loaded() -> dict[str, Registered]:
-    from . import analytics, frames, further, joins, relational, spans, statistics, streams  # noqa: F401  register their queries
+    from . import analytics, estimates, frames, further, joins, relational, spans, statistics, stores, streams  # noqa: F401  register their queries
 
     return _all
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming.processors import NO_EMPTY_TRIGGERS, STORE, funnels, not_lately
-from ..streaming.run import configured, finished, in_files, streamed
+from ..streaming.run import configured, finished, in_files, in_triggers, streamed
 from ..streaming.state import bursts
 from ..streaming.windows import event_time, first_seen, paired, sessions, windowed
 from .registry import register
@@ -123,3 +123,23 @@ def stream_lone_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     lone = paired(views, purchases, ["user_id"], left_ts="viewed", right_ts="bought", within="1 hour", how="left").where("bought IS NULL")
     days = windowed(lone, [], [F.count("*").alias("n")], ts="viewed", size="1 day")
     return _plain_times(finished(days, "stream-lone"), "began", "ended")
+
+
+@register(f"""
+SELECT began, began + INTERVAL 1 HOUR AS ended, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS began FROM events WHERE NOT (event_id % 20 = 0 AND day(ts) <= 8))
+WHERE began + INTERVAL 1 HOUR <= {_WATERMARK} GROUP BY began
+""")
+def stream_without_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows dropped: over four triggers of eight days each, every twentieth event of the first eight days comes with the last ones, whose watermark is weeks past."""
+    events = table(spark, sf_dir, "events")
+    came = F.when((F.col("event_id") % 20 == 0) & (F.dayofmonth("ts") <= 8), 3).otherwise(F.floor((F.dayofmonth("ts") - 1) / 8))
+    found = windowed(event_time(in_triggers(events.withColumn("came", came), "came", 4, "late-events")), [], [F.count("*").alias("n")])
+    return _plain_times(finished(found, "stream-without-late"), "began", "ended")
+
+
+@register("SELECT event_id, user_id, ts FROM events")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are sent again with the eight days that follow, over five triggers: each once, the state kept for as long as copies can come."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor((F.dayofmonth("ts") - 1) / 8).alias("came"))
+    sent = events.unionAll(events.withColumn("came", F.col("came") + 1))
+    return _plain_times(finished(first_seen(event_time(in_triggers(sent, "came", 5, "sent-twice"), late="16 days"), ["event_id"]), "stream-once"), "ts")

@@ -27,12 +27,16 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
 
 def in_files(df: DataFrame, order: str, files: int, name: str) -> DataFrame:
     """df as a stream of so many triggers, one after another by ranges of order: streams take files by their times, so each range is written after the one before."""
-    path = stash_path(df.sparkSession, name)
     part = unused("part", df)
-    parts = stash(df.repartitionByRange(files, order).withColumn(part, F.spark_partition_id()), name)
-    for i in range(files):
-        parts.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return in_triggers(stash(df.repartitionByRange(files, order).withColumn(part, F.spark_partition_id()), name), part, files, name)
+
+
+def in_triggers(df: DataFrame, part: str, triggers: int, name: str) -> DataFrame:
+    """df as a stream whose trigger i, from 0, takes the rows with that number in part, which is dropped."""
+    path, rows = stash_path(df.sparkSession, name), df.drop(part)
+    for i in range(triggers):
+        df.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def streamed(spark: SparkSession, folder: str, name: str, *, files: int | None = None) -> DataFrame:
