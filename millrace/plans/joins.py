@@ -47,7 +47,7 @@ def parts_of_like_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range join of two large sides through a grid of prices, not by comparing every pair of a brand."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     other = part.toDF("other", "other_brand", "other_price")
-    near = band_join(part, other, "p_retailprice", "other_price", 0.5, on=F.col("p_brand") == F.col("other_brand"))
+    near = band_join(part, other, "p_retailprice", "other_price", 0.5, on=[("p_brand", "other_brand")], upward=True)
     return near.where("other_price > p_retailprice").select(F.col("p_partkey").alias("part"), "other")
 
 

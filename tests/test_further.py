@@ -60,3 +60,20 @@ def test_runs_follow_their_arguments(spark):
     with pytest.raises(PySparkException):
         Runs(df.asTable(), F.lit(" ")).collect()
     assert Runs(df.where("false").asTable(), F.lit("a")).count() == 0
+
+
+def test_band_join_spreads_its_pairs(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import bands
+
+    monkeypatch.setattr(bands, "TASK_ROWS", 10)
+    r = random.Random(4)
+    a = [(i, r.choice(["u", "v", None]), round(r.uniform(0, 40), 1)) for i in range(400)]
+    left, right = spark.createDataFrame(a, "x long, k string, p double").coalesce(1), spark.createDataFrame(a, "y long, m string, q double").coalesce(1)
+    for upward in (False, True):
+        got = bands.band_join(left, right, "p", "q", 0.5, on=[("k", "m")], upward=upward).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((g["x"], g["y"]) for g in got) == sorted((i, j) for i, k, p in a for j, m, q in a if k == m and k and (0 if upward else -0.5) <= q - p <= 0.5)
+        assert len({g["task"] for g in got}) > 20  # one task of left rows before, whose pairs nothing spread
