@@ -25,18 +25,35 @@ def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Rows of a trigger for each of its files, which are written and read by a task each; and files of a trigger at most.
+FILE_ROWS, MOST_FILES = 100_000, 64
+
+
 def in_files(df: DataFrame, order: str, files: int, name: str) -> DataFrame:
-    """df as a stream of so many triggers, one after another by ranges of order: streams take files by their times, so each range is written after the one before."""
-    part = unused("part", df)
-    return in_triggers(stash(df.repartitionByRange(files, order).withColumn(part, F.spark_partition_id()), name), part, files, name)
+    """df as a stream of so many triggers, one after another by ranges of order."""
+    part, rows = unused("part", df), df.count()
+    each = max(1, min(MOST_FILES, rows // (files * FILE_ROWS)))  # ranges of a trigger
+    ranged = df.repartitionByRange(files * each, order).withColumn(part, F.floor(F.spark_partition_id() / each).cast("int"))
+    return in_triggers(stash(ranged, name), part, files, name)
 
 
 def in_triggers(df: DataFrame, part: str, triggers: int, name: str) -> DataFrame:
-    """df as a stream whose trigger i, from 0, takes the rows with that number in part, which is dropped."""
-    path, rows = stash_path(df.sparkSession, name), df.drop(part)
+    """df as a stream whose trigger i, from 0, takes the rows with that number in part, which is dropped.
+
+    Streams take files by their times and so many a trigger, so each trigger's are written
+    after those of the one before, and all have as many: by the largest one's rows, with
+    empty ones where rows don't fill them. Rows are counted first.
+    """
+    spark, path, rows = df.sparkSession, stash_path(df.sparkSession, name), df.drop(part)
+    largest = df.where(F.col(part).between(0, triggers - 1)).groupBy(part).count().agg(F.max("count")).first()[0] or 0
+    files, written = max(1, min(MOST_FILES, -(-largest // FILE_ROWS))), 0
     for i in range(triggers):
-        df.where(F.col(part) == i).drop(part).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        of = df.where(F.col(part) == i).drop(part)
+        (of.repartition(files) if files > 1 else of.coalesce(1)).write.mode("append").parquet(path)
+        written += files
+        for _ in range(written - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def streamed(spark: SparkSession, folder: str, name: str, *, files: int | None = None) -> DataFrame:

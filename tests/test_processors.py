@@ -79,3 +79,40 @@ def test_values_expire(spark, tmp_path):
     rows.write.mode("append").parquet(str(folder))
     run()
     assert got() == {("a", "x"): 2, ("a", "y"): 2}
+
+
+def test_triggers_are_written_in_several_files(spark, monkeypatch):
+    from millrace.streaming import run
+
+    monkeypatch.setattr(run, "FILE_ROWS", 20)
+    rows = spark.createDataFrame([(i, i // 100 if i < 205 else 3) for i in range(300)], "x long, part int")  # trigger 2 has five rows, fewer than files; 4 has none
+    stream = run.in_triggers(rows, "part", 5, "several")
+    taken = []
+    query = stream.writeStream.foreachBatch(lambda b, i: taken.append((i, sorted(r["x"] for r in b.collect()), b.rdd.getNumPartitions()))).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    want = [list(range(100)), list(range(100, 200)), list(range(200, 205)), list(range(205, 300)), []]
+    assert [t[1] for t in taken] == want and taken[0][2] > 1  # one file and one task a trigger before
+    got = []
+    query = run.in_files(spark.range(400).repartition(3), "id", 4, "ranges").writeStream.foreachBatch(lambda b, i: got.append(sorted(r["id"] for r in b.collect()))).trigger(availableNow=True).start()
+    assert query.awaitTermination(100)
+    assert len(got) == 4 and sum(got, []) == list(range(400))
+
+
+def test_calls_of_the_state_follow_keys_not_rows():
+    from pyspark.sql import Row
+
+    from millrace.streaming.processors import Funnel
+
+    calls = []
+
+    class Kept:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or []
+
+    class Handle(Kept):
+        getListState = getValueState = getMapState = lambda *_: Kept()
+
+    funnel = Funnel(STEPS, 60_000_000, "user")
+    funnel.init(Handle())
+    list(funnel.handleInputRows(("a",), (Row(at=i * 10**6, id=i, kind="view") for i in range(500)), None))
+    assert calls == ["appendList", "registerTimer"]  # a timer for each row before
