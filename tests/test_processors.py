@@ -101,7 +101,7 @@ def test_triggers_are_written_in_several_files(spark, monkeypatch):
 def test_calls_of_the_state_follow_keys_not_rows():
     from pyspark.sql import Row
 
-    from millrace.streaming.processors import Funnel
+    from millrace.streaming.processors import Funnel, Recent
 
     calls = []
 
@@ -116,3 +116,8 @@ def test_calls_of_the_state_follow_keys_not_rows():
     funnel.init(Handle())
     list(funnel.handleInputRows(("a",), (Row(at=i * 10**6, id=i, kind="view") for i in range(500)), None))
     assert calls == ["appendList", "registerTimer"]  # a timer for each row before
+    calls.clear()
+    recent = Recent(1000, ["user", "kind"])
+    recent.init(Handle())
+    assert len(list(recent.handleInputRows(("a",), (Row(user="a", kind="xyz"[i % 3]) for i in range(500)), None))) == 3
+    assert len(calls) == 4  # two for each row before
