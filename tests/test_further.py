@@ -77,3 +77,17 @@ def test_band_join_spreads_its_pairs(spark, monkeypatch):
         got = bands.band_join(left, right, "p", "q", 0.5, on=[("k", "m")], upward=upward).withColumn("task", F.spark_partition_id()).collect()
         assert sorted((g["x"], g["y"]) for g in got) == sorted((i, j) for i, k, p in a for j, m, q in a if k == m and k and (0 if upward else -0.5) <= q - p <= 0.5)
         assert len({g["task"] for g in got}) > 20  # one task of left rows before, whose pairs nothing spread
+
+
+def test_overlap_join_of_few_and_many_rows_a_key(spark):
+    from millrace.operators.intervals import overlap_join
+
+    a = [(i, "abc"[i % 3], float(i), i + 2.5) for i in range(60)] + [(90 + i, "d", float(i), i + 9.0) for i in range(3)] + [(99, None, 0.0, 9.0)]
+    b = [(i, "ab"[i % 2], float(i), i + 4.0) for i in range(40)] + [(50 + i, "cdd"[i % 3], i / 2, i / 2 + 1) for i in range(30)] + [(99, None, 0.0, 9.0)]
+    left, right = spark.createDataFrame(a, "x long, k string, p double, q double"), spark.createDataFrame(b, "y long, m string, r double, s double")
+    want = sorted((u[0], v[0]) for u in a for v in b if u[1] == v[1] and u[1] and u[2] <= v[3] and v[2] <= u[3])
+    for few in (0, 12, 25, 1000):  # all by cells; a and b by cells; none
+        got = overlap_join(left, right, ("p", "q"), ("r", "s"), on=[("k", "m")], few=few)
+        assert sorted((r["x"], r["y"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join ") == 1  # rows were copied to cells and joined twice before
