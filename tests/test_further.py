@@ -91,3 +91,21 @@ def test_overlap_join_of_few_and_many_rows_a_key(spark):
         assert sorted((r["x"], r["y"]) for r in got.collect()) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Join ") == 1  # rows were copied to cells and joined twice before
+
+
+@pytest.mark.parametrize("rows, salt", [(40, 4), (10**6, 1), (10**6, 4)])
+def test_nearest_join_of_many_keys_in_one_group(spark, monkeypatch, rows, salt):
+    from datetime import datetime, timedelta
+
+    from millrace.operators import nearest
+
+    monkeypatch.setattr(nearest, "GROUP_ROWS", rows)  # a group for each key and bucket before
+    monkeypatch.setattr(nearest, "SALT", salt)
+    r = random.Random(8)
+    t = lambda: datetime(1970, 1, 1) + timedelta(seconds=r.randrange(-3000, 3000))
+    a, b = ([(i, r.choice(["a", "b", "c", "é"]), t()) for i in range(300)] for _ in range(2))
+    got = nearest.nearest_join(spark.createDataFrame(a, "x long, k string, ts timestamp"), spark.createDataFrame(b, "y long, k string, ts timestamp"), on="k", left_time="ts", right_time="ts", left_id="x", right_id="y", within_seconds=20)
+    near = {i: [(abs(u - at), u, j, u - at) for j, m, u in b if k == m and abs(u - at) <= timedelta(seconds=20)] for i, k, at in a}
+    want = [(i, min(x)[2], min(x)[3] // timedelta(microseconds=1)) for i, x in near.items() if x]
+    assert sorted(map(tuple, got.collect())) == sorted(want) != []
+    assert "[g" in got._jdf.queryExecution().executedPlan().toString()
