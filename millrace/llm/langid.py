@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, quoted, tidy
+from .common import few_rows, give_back, quoted, tidy
 
 DIMENSIONS = 8192
 PER_LANGUAGE, SAMPLE_CHARS, CENTROIDS = 400, 20_000, 3
@@ -206,7 +206,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         return Model([], [])
     per_language = max(1, min(per_language, PER_LANGUAGE * LANGUAGES // len(counts)))
     # twice as many as wanted and some more, so that chance and the estimate's error leave enough
-    rates = rows.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (2 * per_language + 50) / r["texts"]) * most)) for r in counts], "lang string, below long")
+    rates = few_rows(rows.sparkSession, [(r["lang"], int(min(1.0, (2 * per_language + 50) / r["texts"]) * most)) for r in counts], pa.schema([("lang", pa.string()), ("below", pa.int64())]))
     some = rows.join(F.broadcast(rates), "lang").where("place < below")
     # rows of one text pass or fail together, so copies are removed before anything is gathered
     size = max(1, sample_chars // SPANS)

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fresh, quoted, stash, word_count
+from .common import few_rows, fresh, quoted, stash, word_count
 
 #: Bits of the hash that one histogram resolves; five levels use up a 60-bit hash.
 DIGIT_BITS, LEVELS = 12, 5
@@ -61,13 +61,13 @@ def _thresholds(rows: DataFrame, need: dict[str | None, float]) -> dict[str | No
     missing without these rows; otherwise tied is None.
     """
     spark = rows.sparkSession
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("low", T.LongType()), T.StructField("need", T.DoubleType())])
+    schema = pa.schema([("source", pa.string()), ("low", pa.int64()), ("need", pa.float64())])
     out: dict[str | None, tuple[int, int | None, float]] = {}
     seek = {s: (0, n) for s, n in need.items() if n > 0}
     for level in range(LEVELS):
         if not seek:
             break
-        low = spark.createDataFrame([(s, a, n) for s, (a, n) in seek.items()], schema)
+        low = few_rows(spark, [(s, a, n) for s, (a, n) in seek.items()], schema)
         low = F.broadcast(low) if len(seek) <= BROADCAST_SOURCES else low
         near = rows.alias("r").join(low.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.shiftright("h", DIGIT_BITS * (LEVELS - level)) == F.col("low")))
         digits = near.groupBy(F.col("r.source").alias("source"), _digit(level).alias("digit"), "low", "need").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -101,10 +101,10 @@ def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: floa
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most) if found else []
     whole = {r["source"]: int(aim // size) if size else 0 for r, size, aim in zip(found, sizes, aims, strict=True)}
     cuts = _thresholds(rows, {r["source"]: aim - whole[r["source"]] * size for r, size, aim in zip(found, sizes, aims, strict=True)})
-    schema = T.StructType([T.StructField(name["source"], T.StringType()), *[T.StructField(name[c], k) for c, k in (("source_size", T.LongType()), ("target", T.DoubleType()), ("whole", T.LongType()), ("below", T.LongType()), ("tied", T.LongType()))]])
+    schema = pa.schema([(name["source"], pa.string()), *[(name[c], k) for c, k in (("source_size", pa.int64()), ("target", pa.float64()), ("whole", pa.int64()), ("below", pa.int64()), ("tied", pa.int64()))]])
 
     def plan(of: list) -> DataFrame:
-        made = spark.createDataFrame(of, schema)
+        made = few_rows(spark, of, schema)
         return F.broadcast(made) if len(of) <= BROADCAST_SOURCES else made
 
     facts = [(r["source"], size, aim, whole[r["source"]], *cuts.get(r["source"], (0, None, 0.0))[:2]) for r, size, aim in zip(found, sizes, aims, strict=True)]
@@ -118,7 +118,7 @@ def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: floa
     own = F.shiftrightunsigned(F.xxhash64(F.lit(17), F.col(name["place"])), 64 - DIGIT_BITS * LEVELS)
     inner = _thresholds(tied.select(F.col(name["key"]).alias("source"), F.col(name["size"]).alias("size"), own.alias("h")), ties)
     part = fresh(tied, "_part")
-    again = spark.createDataFrame([(s, inner.get(s, (0, None, 0.0))[0]) for s in ties], T.StructType([T.StructField(part, T.StringType()), T.StructField(f"{part}below", T.LongType())]))
+    again = few_rows(spark, [(s, inner.get(s, (0, None, 0.0))[0]) for s in ties], pa.schema([(part, pa.string()), (f"{part}below", pa.int64())]))
     tied = tied.join(F.broadcast(again) if len(ties) <= BROADCAST_SOURCES else again, F.col(name["key"]).eqNullSafe(F.col(part)))
     tied = tied.withColumn(name["copies"], F.col(name["whole"]) + (own < F.col(f"{part}below")).cast("long")).drop(part, f"{part}below", name["place"])
     return out.where(~same).withColumn(name["copies"], F.col(name["whole"]) + extra).unionByName(tied), name
