@@ -27,7 +27,7 @@ from .common import KEEP, eights, id_of, pieces, quoted, ranges, tidy, word_hash
 CAPACITY = 4096
 #: Ids held back per task for the subset-sum to choose from.
 POOL_TOKENS = 2_000_000
-#: Words and stems kept per Python worker with their ids, about 50 MB; when there are more, all are forgotten.
+#: Words and stems kept per task with their ids, about 50 MB; when there are more, all are forgotten.
 CACHE_WORDS = 700_000
 CACHED_WORD_BYTES = 48
 #: Bytes of texts tokenized at a time, more only where one text has more.
@@ -347,9 +347,6 @@ class WordIds:
         return ids, np.append(at, len(ids))[first]
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, pool_tokens: int = POOL_TOKENS, with_ids: bool = True) -> DataFrame:
     """Pack every document's ids, each followed by end_id, into sequences of at most capacity ids.
 
@@ -364,9 +361,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _word_ids:
-            _word_ids[tokenizer_path] = WordIds(tokenizer_path)
-        words, end = _word_ids[tokenizer_path], np.array([end_id], "<u4").tobytes()
+        # the task's own: a global goes to each task by value, so it would be filled anew too, and freed only after memory is given back
+        words, end = WordIds(tokenizer_path), np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, pool_tokens, (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0, with_ids)
         for batch in batches:
             docs_here = batch.column(0).to_pylist()

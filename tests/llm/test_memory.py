@@ -2,13 +2,14 @@
 
 import random
 import tracemalloc
+import weakref
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import common, langid, mixing
+from millrace.llm import common, langid, mixing, packing
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -89,3 +90,15 @@ def test_results_do_not_depend_on_batches(spark, limit, tmp_path):
         pieces = corpus_pipeline.pack(spark, docs, "").selectExpr("doc_id", "doc_tokens", "length").collect()
         found.append((sorted(map(str, docs.collect())), sum(r["length"] for r in pieces), sorted({(r["doc_id"], r["doc_tokens"]) for r in pieces})))
     assert found[0] == found[1] and len(found[0][0]) > 50
+
+
+def test_packing_keeps_no_words_when_memory_is_given_back(spark, monkeypatch):
+    ran, tables, freed = [], [], []
+    monkeypatch.setattr(packing, "tidy", lambda run: ran.append(run) or common.tidy(run))
+    corpus_pipeline.pack(spark, spark.createDataFrame([(1, "a", "en", "a")], DOCS), "")
+    made = packing.WordTable.__init__
+    monkeypatch.setattr(packing.WordTable, "__init__", lambda self: made(self) or tables.append(weakref.ref(self)))
+    monkeypatch.setattr(common, "give_back", lambda: freed.append([t() is None for t in tables]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in common.tidy(ran[0])(iter([batch]))) > 1
+    assert freed[-1] == [True]
